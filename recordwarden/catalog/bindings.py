@@ -11,9 +11,11 @@ from the keys by arithmetic, so every table grows with its source.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import AuditConfig, make_config
 from ..model import COMPANIES, CONTACTS, DEALS, CrmTables
@@ -33,117 +35,105 @@ COUNTRIES = [
 ]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A warehouse table; its schema is read from the files once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def policy() -> AuditConfig:
     return make_config(owner_regions=OWNER_REGIONS)
 
 
-def _nth(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
-def _address(k: Column) -> Column:
-    def text(*parts: Column | str) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-    kind = k % 20
-    return (
-        F.when(kind == 0, F.lit(None).cast("string"))
-        .when(kind == 1, text("info@shop", k % 50, ".com"))
-        .when(kind == 2, text("User", k, "@Shop.COM"))
-        .when(kind == 3, text("user", k, "@shop.cim"))
-        .when(kind == 4, text("user", k, ".example.com"))
-        .when(kind == 5, text(" USER", k + 1, "@MAIL.NET "))
-        .when(kind == 6, text("user", k, "@mail.net"))
-        .when(kind == 7, text("user", k, "@shop.online"))
-        .when(kind == 8, text("USER", k, "@shop.CMO"))
-        .when(kind.isin(9, 10), F.lit("frontdesk@hub.io"))
-        .when(kind == 11, F.lit("   "))
-        .when(kind == 12, F.lit("sales@hub.io"))
-        .when(kind == 13, F.lit("a@@b.com"))
-        .otherwise(text("user", k, "@mail.org"))
-    )
+def _nth(values: list[str], index: str) -> str:
+    items = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({items}), cast({index} + 1 as int))"
 
 
-def _owner(k: Column, gap: int) -> Column:
-    return (
-        F.when(k % gap == 0, F.lit(None).cast("string"))
-        .when(k % 13 == 0, F.lit("  ada   NOVAK "))
-        .otherwise(_nth(OWNERS, k % 5))
-    )
+def _owner(k: str, gap: int) -> str:
+    return f"""CASE WHEN {k} % {gap} = 0 THEN NULL
+        WHEN {k} % 13 = 0 THEN '  ada   NOVAK ' ELSE {_nth(OWNERS, f"{k} % 5")} END"""
+
+
+_ADDRESS = """CASE c_custkey % 20
+    WHEN 0 THEN NULL
+    WHEN 1 THEN concat('info@shop', c_custkey % 50, '.com')
+    WHEN 2 THEN concat('User', c_custkey, '@Shop.COM')
+    WHEN 3 THEN concat('user', c_custkey, '@shop.cim')
+    WHEN 4 THEN concat('user', c_custkey, '.example.com')
+    WHEN 5 THEN concat(' USER', c_custkey + 1, '@MAIL.NET ')
+    WHEN 6 THEN concat('user', c_custkey, '@mail.net')
+    WHEN 7 THEN concat('user', c_custkey, '@shop.online')
+    WHEN 8 THEN concat('USER', c_custkey, '@shop.CMO')
+    WHEN 9 THEN 'frontdesk@hub.io'
+    WHEN 10 THEN 'frontdesk@hub.io'
+    WHEN 11 THEN '   '
+    WHEN 12 THEN 'sales@hub.io'
+    WHEN 13 THEN 'a@@b.com'
+    ELSE concat('user', c_custkey, '@mail.org') END"""
 
 
 def contact_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers under export headers, not yet cleaned."""
-    k = F.col("c_custkey")
     activity = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")
+        F.min("o_orderdate").alias("first_order"), F.max("o_orderdate").alias("last_order")
     )
-    return (
-        table(spark, sf_dir, "customer")
-        .join(activity, F.col("o_custkey") == k, "left")
-        .select(
-            k.cast("string").alias("Record ID"),
-            F.col("c_name").alias("Last Name"),
-            _address(k).alias("Email"),
-            _owner(k, 11).alias("Contact owner"),
-            F.when(k % 17 != 0, F.col("c_mktsegment")).alias("Lifecycle Stage"),
-            F.when(k % 19 != 0, _nth(COUNTRIES, F.col("c_nationkey"))).alias("Country/Region"),
-            F.col("first").alias("Create Date"),
-            F.col("last").alias("Last Activity Date"),
-        )
+    customers = table(spark, sf_dir, "customer")
+    return customers.join(activity, F.expr("o_custkey = c_custkey"), "left").selectExpr(
+        "cast(c_custkey as string) AS `Record ID`",
+        "c_name AS `Last Name`",
+        f"{_ADDRESS} AS `Email`",
+        f"{_owner('c_custkey', 11)} AS `Contact owner`",
+        "CASE WHEN c_custkey % 17 <> 0 THEN c_mktsegment END AS `Lifecycle Stage`",
+        f"CASE WHEN c_custkey % 19 <> 0 THEN {_nth(COUNTRIES, 'c_nationkey')} END AS `Country/Region`",
+        "first_order AS `Create Date`",
+        "last_order AS `Last Activity Date`",
     )
 
 
 def company_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages under company export headers."""
-    k = F.col("page_id")
-    group = F.floor(k / 5).cast("string")
-    name = (
-        F.when(k % 5 == 0, F.concat(F.lit("Vendor "), group, F.lit(" Inc.")))
-        .when(k % 5 == 1, F.concat(F.lit("VENDOR "), group, F.lit(", LLC")))
-        .when(k % 5 == 2, F.lit("The Group"))
-        .when(k % 5 == 3, F.concat(F.lit("Vendor-"), k.cast("string"), F.lit(" GmbH")))
-        .otherwise(F.concat(F.lit("Vendor "), group, F.lit(" Holdings")))
-    )
-    return table(spark, sf_dir, "pages").select(
-        k.cast("string").alias("Record ID"),
-        name.alias("Company name"),
-        F.when(k % 29 != 0, F.col("url")).alias("Company Domain Name"),
-        _owner(k, 7).alias("Company owner"),
-        F.when(k % 6 != 0, F.concat(F.lit("Industry "), (k % 4).cast("string"))).alias("Industry"),
-        (k % 1000).cast("double").alias("Number of Employees"),
-        _nth(COUNTRIES, k % 25).alias("Country/Region"),
+    return table(spark, sf_dir, "pages").selectExpr(
+        "cast(page_id as string) AS `Record ID`",
+        """CASE page_id % 5
+            WHEN 0 THEN concat('Vendor ', page_id div 5, ' Inc.')
+            WHEN 1 THEN concat('VENDOR ', page_id div 5, ', LLC')
+            WHEN 2 THEN 'The Group'
+            WHEN 3 THEN concat('Vendor-', page_id, ' GmbH')
+            ELSE concat('Vendor ', page_id div 5, ' Holdings') END AS `Company name`""",
+        "CASE WHEN page_id % 29 <> 0 THEN url END AS `Company Domain Name`",
+        f"{_owner('page_id', 7)} AS `Company owner`",
+        "CASE WHEN page_id % 6 <> 0 THEN concat('Industry ', page_id % 4) END AS `Industry`",
+        "cast(page_id % 1000 as double) AS `Number of Employees`",
+        f"{_nth(COUNTRIES, 'page_id % 25')} AS `Country/Region`",
     )
 
 
 def deal_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders under deal export headers."""
-    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.max("l_shipdate").alias("last_ship")
     )
-    return (
-        table(spark, sf_dir, "orders")
-        .join(shipped, F.col("l_orderkey") == k, "left")
-        .select(
-            k.cast("string").alias("Record ID"),
-            F.concat(F.lit("Order "), k.cast("string")).alias("Deal Name"),
-            F.when((status == "F") & (k % 2 == 0), "Closed Won")
-            .when(status == "F", "closed_lost")
-            .when((status == "P") & (k % 9 == 0), F.lit(None).cast("string"))
-            .when(status == "P", "contractsent")
-            .otherwise("Qualified To Buy").alias("Deal Stage"),
-            F.when(k % 23 != 0, F.col("o_totalprice")).alias("Amount"),
-            _owner(k, 31).alias("Deal owner"),
-            F.col("o_orderpriority").alias("Pipeline"),
-            F.col("last_ship").alias("Close Date"),
-            F.col("o_orderdate").alias("Create Date"),
-            F.col("o_orderdate").alias("Last Activity Date"),
-        )
+    orders = table(spark, sf_dir, "orders")
+    return orders.join(shipped, F.expr("l_orderkey = o_orderkey"), "left").selectExpr(
+        "cast(o_orderkey as string) AS `Record ID`",
+        "concat('Order ', o_orderkey) AS `Deal Name`",
+        """CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'Closed Won'
+            WHEN o_orderstatus = 'F' THEN 'closed_lost'
+            WHEN o_orderstatus = 'P' AND o_orderkey % 9 = 0 THEN NULL
+            WHEN o_orderstatus = 'P' THEN 'contractsent'
+            ELSE 'Qualified To Buy' END AS `Deal Stage`""",
+        "CASE WHEN o_orderkey % 23 <> 0 THEN o_totalprice END AS `Amount`",
+        f"{_owner('o_orderkey', 31)} AS `Deal owner`",
+        "o_orderpriority AS `Pipeline`",
+        "last_ship AS `Close Date`",
+        "o_orderdate AS `Create Date`",
+        "o_orderdate AS `Last Activity Date`",
     )
 
 
@@ -171,7 +161,28 @@ def as_of(spark: SparkSession, sf_dir: str) -> dt.datetime:
     return resolve_as_of([order_dates(spark, sf_dir)])
 
 
+class WarehouseTables(CrmTables):
+    """The three tables, each defined when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._source = (spark, sf_dir)
+
+    @cached_property
+    def contacts(self) -> DataFrame:
+        return contacts(*self._source)
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return companies(*self._source)
+
+    @cached_property
+    def deals(self) -> DataFrame:
+        return deals(*self._source)
+
+    @cached_property
+    def as_of(self) -> dt.datetime:
+        return as_of(*self._source)
+
+
 def crm(spark: SparkSession, sf_dir: str) -> CrmTables:
-    return CrmTables(
-        contacts(spark, sf_dir), companies(spark, sf_dir), deals(spark, sf_dir), as_of(spark, sf_dir)
-    )
+    return WarehouseTables(spark, sf_dir)

@@ -64,8 +64,15 @@ def casefold(c: Column) -> Column:
     return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
+# `fold_*` may give an empty text, which filters test in one comparison; `*_key`
+# gives null instead.
+
+def fold_email(c: Column) -> Column:
+    return F.lower(strip(c))
+
+
 def email_key(c: Column) -> Column:
-    return empty_to_null(F.lower(strip(c)))
+    return empty_to_null(fold_email(c))
 
 
 def _split_at_sign(email: Column, part: Column) -> Column:
@@ -100,16 +107,24 @@ def likely_tld(tld: Column, targets: tuple[str, ...] = TYPO_TARGETS) -> Column:
     return F.coalesce(*[F.when(F.levenshtein(tld, F.lit(t), 1) == 1, F.lit(t)) for t in targets])
 
 
-def company_key(c: Column) -> Column:
+def fold_company(c: Column) -> Column:
     words = F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
     kept = F.regexp_replace(words, r"\b(?:" + "|".join(LEGAL_WORDS) + r")\b", "")
-    return empty_to_null(F.trim(F.regexp_replace(kept, " +", " ")))
+    return F.trim(F.regexp_replace(kept, " +", " "))
 
 
-def domain_key(c: Column) -> Column:
+def company_key(c: Column) -> Column:
+    return empty_to_null(fold_company(c))
+
+
+def fold_domain(c: Column) -> Column:
     host = F.regexp_replace(F.lower(strip(c)), "^https?://", "")
     host = F.regexp_replace(host, r"^www\.", "")
-    return clean_text(F.substring_index(host, "/", 1))
+    return strip(F.substring_index(host, "/", 1))
+
+
+def domain_key(c: Column) -> Column:
+    return empty_to_null(fold_domain(c))
 
 
 def country_key(c: Column) -> Column:

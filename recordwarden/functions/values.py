@@ -13,9 +13,6 @@ from .text import strip
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 NUMBER_PATTERN = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
-_MICROS_PER_DAY = 86_400_000_000
-
-
 def parse_date(c: Column) -> Column:
     """ISO or US-style text to a timestamp without zone; anything else to null."""
     iso = F.regexp_replace(strip(c), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
@@ -34,10 +31,13 @@ def timestamp_literal(value: dt.datetime) -> Column:
 
 
 def days_between(start: Column, end: Column) -> Column:
-    """Whole days elapsed from `start` to `end`, rounded down."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    whole = micros - F.pmod(micros, F.lit(_MICROS_PER_DAY))
-    return (whole / F.lit(_MICROS_PER_DAY)).cast("int")
+    """Whole days elapsed from `start` to `end`, rounded down.
+
+    Subtracting timestamps without zone keeps daylight saving out of the count.
+    """
+    elapsed = end - start
+    days = F.extract(F.lit("DAY"), elapsed)
+    return F.when(elapsed < F.make_dt_interval(days), days - 1).otherwise(days)
 
 
 def round_exact(c: Column, digits: int) -> Column:

@@ -87,40 +87,32 @@ def table_schema(object_type: str) -> T.StructType:
 
 # Typed detail of a finding; every key is null where a check does not use it.
 DETAIL_TYPES = {
-    "days_inactive": T.IntegerType(),
-    "days_overdue": T.IntegerType(),
-    "threshold_days": T.IntegerType(),
-    "amount": T.DoubleType(),
-    "deal_name": T.StringType(),
-    "reason": T.StringType(),
-    "email": T.StringType(),
-    "tld": T.StringType(),
-    "likely_tld": T.StringType(),
-    "local_part": T.StringType(),
-    "master_record_id": T.StringType(),
-    "match_key": T.StringType(),
-    "match_type": T.StringType(),
-    "required_field": T.StringType(),
-    "policy_reason": T.StringType(),
-    "owner": T.StringType(),
-    "owner_region": T.StringType(),
-    "record_country": T.StringType(),
-    "record_region": T.StringType(),
+    "days_inactive": "int",
+    "days_overdue": "int",
+    "threshold_days": "int",
+    "amount": "double",
+    "deal_name": "string",
+    "reason": "string",
+    "email": "string",
+    "tld": "string",
+    "likely_tld": "string",
+    "local_part": "string",
+    "master_record_id": "string",
+    "match_key": "string",
+    "match_type": "string",
+    "required_field": "string",
+    "policy_reason": "string",
+    "owner": "string",
+    "owner_region": "string",
+    "record_country": "string",
+    "record_region": "string",
 }
 
-FINDINGS_SCHEMA = T.StructType([
-    T.StructField("check_id", T.StringType()),
-    T.StructField("object_type", T.StringType()),
-    T.StructField("record_id", T.StringType()),
-    T.StructField("severity_rank", T.IntegerType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("field", T.StringType()),
-    T.StructField("revenue_impact_usd", T.DoubleType()),
-    T.StructField("related_record_ids", T.ArrayType(T.StringType())),
-    T.StructField("emit_order", T.IntegerType()),
-    T.StructField("meta", T.StructType([T.StructField(k, t) for k, t in DETAIL_TYPES.items()])),
-])
+FINDINGS_SCHEMA = T.StructType.fromDDL(
+    "check_id string, object_type string, record_id string, severity_rank int, severity string, "
+    "message string, field string, revenue_impact_usd double, related_record_ids array<string>, "
+    "emit_order int, meta struct<" + ", ".join(f"{k}: {t}" for k, t in DETAIL_TYPES.items()) + ">"
+)
 
 
 def severity_label(rank: Column) -> Column:
@@ -137,7 +129,9 @@ def detail_struct(values: dict[str, Column]) -> Column:
     if unknown:
         raise ValueError(f"unknown finding details: {sorted(unknown)}")
     return F.struct(*[
-        values.get(key, F.lit(None)).cast(kind).alias(key) for key, kind in DETAIL_TYPES.items()
+        values[key].cast(kind).alias(key) if key in values
+        else F.expr(f"cast(null as {kind}) AS {key}")
+        for key, kind in DETAIL_TYPES.items()
     ])
 
 

@@ -8,16 +8,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import company_key, domain_key, email_key
+from ..functions.text import fold_company, fold_domain, fold_email
 from ..model import COMPANIES, CONTACTS, HIGH, MEDIUM, detail_struct, severity_label, union_all
 
-# Number of pieces the members of one key are spread over for the join back.
+# Pieces the members of one key are spread over for the join back; a power of two.
 LANES = 1024
 
 
 @dataclass(frozen=True)
 class MatchPass:
-    """One key to match on. Earlier passes take precedence for the same record."""
+    """One text key to match on; null and empty match nothing.
+
+    Earlier passes take precedence for the same record.
+    """
 
     key: Column
     severity: int
@@ -34,10 +37,10 @@ def _flagged(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """
     members = (
         df.select(key.alias("match_key"), F.col(id_col).cast("string").alias("record_id"))
-        .where(F.col("match_key").isNotNull())
+        .where(F.col("match_key") != "")
         .groupBy("match_key", "record_id")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("lane", F.pmod(F.xxhash64("record_id"), F.lit(LANES)).cast("int"))
+        .withColumn("lane", F.xxhash64("record_id").bitwiseAND(LANES - 1).cast("int"))
     )
     masters = (
         members.groupBy("match_key")
@@ -106,13 +109,13 @@ def duplicate_findings(
 
 
 def duplicate_contacts(contacts: DataFrame) -> DataFrame:
-    by_email = MatchPass(email_key(F.col("email")), HIGH, "email", "email")
+    by_email = MatchPass(fold_email(F.col("email")), HIGH, "email", "email")
     return duplicate_findings(contacts, [by_email], "duplicate_contacts", CONTACTS)
 
 
 def duplicate_companies(companies: DataFrame) -> DataFrame:
     passes = [
-        MatchPass(domain_key(F.col("domain")), HIGH, "domain", "web domain"),
-        MatchPass(company_key(F.col("company_name")), MEDIUM, "company_name", "name without legal words"),
+        MatchPass(fold_domain(F.col("domain")), HIGH, "domain", "web domain"),
+        MatchPass(fold_company(F.col("company_name")), MEDIUM, "company_name", "name without legal words"),
     ]
     return duplicate_findings(companies, passes, "duplicate_companies", COMPANIES)

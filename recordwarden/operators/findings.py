@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,10 @@ class Rule:
     meta: Mapping[str, Column] = field(default_factory=dict)
 
 
+def _literal(value: int | str) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def emit(df: DataFrame, object_type: str, rules: Sequence[Rule], id_col: str = "record_id") -> DataFrame:
     """One finding per row and rule that fires, in a single scan of `df`.
 
@@ -35,30 +39,32 @@ def emit(df: DataFrame, object_type: str, rules: Sequence[Rule], id_col: str = "
         "_rule", F.explode(F.array(*[F.when(r.when, F.lit(i)) for i, r in enumerate(rules)]))
     ).where(F.col("_rule").isNotNull())
 
-    def by_rule(value: Callable[[Rule], Column | None]) -> Column:
-        chosen = [(i, value(r)) for i, r in enumerate(rules)]
-        chosen = [(i, v) for i, v in chosen if v is not None]
-        if not chosen:
-            return F.lit(None)
-        (first, result), *rest = chosen
-        branch = F.when(F.col("_rule") == first, result)
-        for i, v in rest:
-            branch = branch.when(F.col("_rule") == i, v)
+    def by_rule(values: dict[int, Column]) -> Column:
+        (first, chosen), *others = values.items()
+        branch = F.when(F.col("_rule") == first, chosen)
+        for i, value in others:
+            branch = branch.when(F.col("_rule") == i, value)
         return branch
 
-    details = {k: by_rule(lambda r, k=k: r.meta.get(k)) for k in DETAIL_TYPES}
-    rank = by_rule(lambda r: F.lit(r.severity))
+    def constant(name: str) -> Column:
+        branches = " ".join(f"WHEN {i} THEN {_literal(getattr(r, name))}" for i, r in enumerate(rules))
+        return F.expr(f"CASE _rule {branches} END AS {name}")
+
+    details = {
+        key: by_rule({i: r.meta[key] for i, r in enumerate(rules) if key in r.meta})
+        for key in DETAIL_TYPES if any(key in r.meta for r in rules)
+    }
     return fired.select(
-        by_rule(lambda r: F.lit(r.check_id)).alias("check_id"),
+        constant("check_id"),
         F.lit(object_type).alias("object_type"),
         F.col(id_col).cast("string").alias("record_id"),
-        rank.alias("severity_rank"),
-        severity_label(rank).alias("severity"),
-        by_rule(lambda r: r.message).alias("message"),
-        by_rule(lambda r: F.lit(r.field)).alias("field"),
+        constant("severity").alias("severity_rank"),
+        severity_label(constant("severity")).alias("severity"),
+        by_rule({i: r.message for i, r in enumerate(rules)}).alias("message"),
+        constant("field"),
         F.lit(0.0).alias("revenue_impact_usd"),
-        F.array().cast("array<string>").alias("related_record_ids"),
-        by_rule(lambda r: F.lit(r.order)).alias("emit_order"),
+        F.expr("cast(array() as array<string>) AS related_record_ids"),
+        constant("order").alias("emit_order"),
         detail_struct(details).alias("meta"),
     )
 

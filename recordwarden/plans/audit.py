@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
@@ -36,37 +36,47 @@ CustomCheck = Callable[[CrmTables, AuditConfig], DataFrame]
 
 
 def contact_findings(tables: CrmTables, config: AuditConfig, checks: Sequence[str]) -> DataFrame | None:
+    wanted = {"missing_fields_contacts", "decayed_contacts", "email_deliverability"} & set(checks)
+    routed = "routing_contacts" in checks and config.routing_enabled
+    if not wanted and not routed:
+        return None
     df, rules = tables.contacts, []
-    if "missing_fields_contacts" in checks:
+    if "missing_fields_contacts" in wanted:
         rules += missing_field_rules(df, CONTACTS, config.required_fields.get(CONTACTS, ()))
-    if "decayed_contacts" in checks:
+    if "decayed_contacts" in wanted:
         rules += inactivity_rules(F.col("last_activity_date"), tables.as_of, config.decayed_contact_days)
-    if "email_deliverability" in checks:
+    if "email_deliverability" in wanted:
         df = with_email_diagnosis(df, "email", config.role_mailboxes)
         rules += deliverability_rules()
-    if "routing_contacts" in checks and config.routing_enabled:
+    if routed:
         df = with_regions(df, config)
         rules += routing_rules(CONTACTS)
     return _emitted(df, CONTACTS, rules)
 
 
 def company_findings(tables: CrmTables, config: AuditConfig, checks: Sequence[str]) -> DataFrame | None:
+    routed = "routing_companies" in checks and config.routing_enabled
+    if "missing_fields_companies" not in checks and not routed:
+        return None
     df, rules = tables.companies, []
     if "missing_fields_companies" in checks:
         rules += missing_field_rules(df, COMPANIES, config.required_fields.get(COMPANIES, ()))
-    if "routing_companies" in checks and config.routing_enabled:
+    if routed:
         df = with_regions(df, config)
         rules += routing_rules(COMPANIES)
     return _emitted(df, COMPANIES, rules)
 
 
 def deal_findings(tables: CrmTables, config: AuditConfig, checks: Sequence[str]) -> DataFrame | None:
+    wanted = {"missing_fields_deals", "stale_deals", "past_close_date"} & set(checks)
+    if not wanted:
+        return None
     df, rules = tables.deals, []
-    if "missing_fields_deals" in checks:
+    if "missing_fields_deals" in wanted:
         rules += missing_field_rules(df, DEALS, config.required_fields.get(DEALS, ()))
-    if "stale_deals" in checks:
+    if "stale_deals" in wanted:
         rules += stale_deal_rules(tables.as_of, config.stale_deal_days)
-    if "past_close_date" in checks:
+    if "past_close_date" in wanted:
         rules += past_close_rules(tables.as_of)
     return _emitted(df, DEALS, rules)
 
@@ -104,4 +114,4 @@ def run_checks(
         if checks is None or check_id in selected:
             parts.append(check(tables, config).select(*FINDINGS_SCHEMA.fieldNames()))
     found = [p for p in parts if p is not None]
-    return union_all(found) if found else empty_findings(tables.contacts.sparkSession)
+    return union_all(found) if found else empty_findings(SparkSession.active())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import country_key_value, person_key_value
@@ -99,4 +100,5 @@ def owner_regions_by_key(owner_regions: Mapping[str, str]) -> dict[str, str]:
 
 
 def dimension(spark: SparkSession, mapping: Mapping[str, str], key: str, value: str) -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), f"{key} string, {value} string")
+    columns = {key: list(mapping.keys()), value: list(mapping.values())}
+    return spark.createDataFrame(pa.table(columns, pa.schema([(c, pa.string()) for c in columns])))
