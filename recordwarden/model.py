@@ -108,10 +108,21 @@ DETAIL_TYPES = {
     "record_region": "string",
 }
 
-FINDINGS_SCHEMA = T.StructType.fromDDL(
-    "check_id string, object_type string, record_id string, severity_rank int, severity string, "
-    "message string, field string, revenue_impact_usd double, related_record_ids array<string>, "
-    "emit_order int, meta struct<" + ", ".join(f"{k}: {t}" for k, t in DETAIL_TYPES.items()) + ">"
+_TYPES = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+FINDINGS_SCHEMA = (
+    T.StructType()
+    .add("check_id", T.StringType())
+    .add("object_type", T.StringType())
+    .add("record_id", T.StringType())
+    .add("severity_rank", T.IntegerType())
+    .add("severity", T.StringType())
+    .add("message", T.StringType())
+    .add("field", T.StringType())
+    .add("revenue_impact_usd", T.DoubleType())
+    .add("related_record_ids", T.ArrayType(T.StringType()))
+    .add("emit_order", T.IntegerType())
+    .add("meta", T.StructType([T.StructField(k, _TYPES[t]) for k, t in DETAIL_TYPES.items()]))
 )
 
 

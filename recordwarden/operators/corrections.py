@@ -71,7 +71,7 @@ def with_canonical_country(df: DataFrame, country: str, into: str = "canonical_c
     names = dimension(df.sparkSession, canonical_countries(), "_country_key", into)
     return (
         df.withColumn("_country_key", text.country_key(F.col(country)))
-        .join(F.broadcast(names), "_country_key", "left")
+        .join(names, "_country_key", "left")
         .drop("_country_key")
     )
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_company, fold_domain, fold_email
+from ..functions.text import fold_company, fold_domain, fold_email, sentence
 from ..model import COMPANIES, CONTACTS, HIGH, MEDIUM, detail_struct, severity_label, union_all
 
 # Pieces the members of one key are spread over for the join back; a power of two.
@@ -94,9 +94,9 @@ def duplicate_findings(
         "record_id",
         rank.alias("severity_rank"),
         severity_label(rank).alias("severity"),
-        F.format_string(
-            "Same %s (%s) as record %s, which is older. Merge this record into %s.",
-            by_pass([p.label for p in passes]), "match_key", master, master,
+        sentence(
+            "Same ", by_pass([p.label for p in passes]), " (", F.col("match_key"), ") as record ", master,
+            ", which is older. Merge this record into ", master, ".",
         ).alias("message"),
         field.alias("field"),
         F.lit(0.0).alias("revenue_impact_usd"),

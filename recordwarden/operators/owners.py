@@ -30,7 +30,7 @@ def routing_coverage(owners: DataFrame, owner_regions: Mapping[str, str]) -> Dat
     regions = dimension(owners.sparkSession, owner_regions_by_key(owner_regions), "_key", "region")
     return (
         owners.withColumn("_key", person_key(F.col("owner")))
-        .join(F.broadcast(regions), "_key", "left")
+        .join(regions, "_key", "left")
         .agg(
             F.count(F.lit(1)).alias("owners_found"),
             F.count("region").alias("owners_assigned"),

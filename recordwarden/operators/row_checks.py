@@ -67,10 +67,9 @@ def inactivity_rules(
         severity=MEDIUM,
         field=field,
         when=F.coalesce(days > threshold, F.lit(False)),
-        message=F.format_string(
-            f"Silent for %d days (about %d months), longer than the {threshold} days allowed. "
-            "Win back or suppress.",
-            days, F.floor(days / 30).cast("int"),
+        message=text.sentence(
+            "Silent for ", days, " days (about ", F.floor(days / 30),
+            f" months), longer than the {threshold} days allowed. Win back or suppress.",
         ),
         meta={"days_inactive": days, "threshold_days": F.lit(threshold)},
     )]
@@ -102,21 +101,23 @@ def deliverability_rules(email: str = "email", check_id: str = "email_deliverabi
     return [
         Rule(
             check_id, HIGH, "email", is_("invalid_syntax"),
-            F.format_string("'%s' is not an email address and cannot receive mail.", address),
+            text.sentence("'", address, "' is not an email address and cannot receive mail."),
             meta={"reason": F.lit("invalid_syntax"), "email": address},
         ),
         Rule(
             check_id, HIGH, "email", is_("suspicious_tld"),
-            F.concat(
-                F.format_string("'.%s' is not a known domain ending", tld),
-                F.coalesce(F.concat(F.lit(", probably meant as '."), likely, F.lit("'")), F.lit("")),
-                F.lit("; mail will bounce."),
+            text.sentence(
+                "'.", tld, "' is not a known domain ending",
+                F.coalesce(text.sentence(", probably meant as '.", likely, "'"), F.lit("")),
+                "; mail will bounce.",
             ),
             meta={"reason": F.lit("suspicious_tld"), "tld": tld, "likely_tld": likely, "email": address},
         ),
         Rule(
             check_id, MEDIUM, "email", is_("role_based"),
-            F.format_string("'%s@' is a role mailbox, not a person; expect complaints and few replies.", local),
+            text.sentence(
+                "'", local, "@' is a role mailbox, not a person; expect complaints and few replies."
+            ),
             meta={"reason": F.lit("role_based"), "local_part": local},
         ),
     ]
@@ -135,8 +136,8 @@ def with_regions(
     return (
         df.withColumn("_owner_key", text.person_key(F.col(owner)))
         .withColumn("_country_key", text.country_key(F.col(country)))
-        .join(F.broadcast(owners), "_owner_key", "left")
-        .join(F.broadcast(countries), "_country_key", "left")
+        .join(owners, "_owner_key", "left")
+        .join(countries, "_country_key", "left")
     )
 
 
@@ -151,9 +152,9 @@ def routing_rules(
         severity=HIGH,
         field="owner",
         when=F.coalesce(covers != lies_in, F.lit(False)),
-        message=F.format_string(
-            f"{noun} in %s belongs to %s, but its owner %s covers %s. Hand it to someone in %s.",
-            F.col(country), lies_in, F.col(owner), covers, lies_in,
+        message=text.sentence(
+            f"{noun} in ", F.col(country), " belongs to ", lies_in, ", but its owner ", F.col(owner),
+            " covers ", covers, ". Hand it to someone in ", lies_in, ".",
         ),
         meta={
             "owner": F.col(owner), "owner_region": covers,
@@ -163,7 +164,7 @@ def routing_rules(
 
 
 def _amount_clause(amount: Column) -> Column:
-    return F.when(amount.isNotNull(), F.concat(F.lit(" worth $"), F.format_number(amount, 0))).otherwise("")
+    return F.coalesce(text.sentence(" worth $", F.format_number(amount, 0)), F.lit(""))
 
 
 def stale_deal_rules(
@@ -176,9 +177,9 @@ def stale_deal_rules(
         severity=HIGH,
         field="last_activity_date",
         when=text.stage_is_open(F.col(stage)) & F.coalesce(days > threshold, F.lit(False)),
-        message=F.format_string(
-            f"Open deal%s untouched for %d days, limit {threshold}. It still counts in the forecast.",
-            _amount_clause(F.col(amount)), days,
+        message=text.sentence(
+            "Open deal", _amount_clause(F.col(amount)), " untouched for ", days,
+            f" days, limit {threshold}. It still counts in the forecast.",
         ),
         meta={
             "days_inactive": days, "threshold_days": F.lit(threshold),
@@ -197,9 +198,9 @@ def past_close_rules(
         severity=HIGH,
         field="close_date",
         when=text.stage_is_open(F.col(stage)) & F.coalesce(days > 0, F.lit(False)),
-        message=F.format_string(
-            "Open deal%s should have closed %d days ago. Set a new date or close it.",
-            _amount_clause(F.col(amount)), days,
+        message=text.sentence(
+            "Open deal", _amount_clause(F.col(amount)), " should have closed ", days,
+            " days ago. Set a new date or close it.",
         ),
         meta={"days_overdue": days, "amount": F.col(amount), "deal_name": F.col(name)},
     )]

@@ -131,9 +131,7 @@ class Report:
     def write_findings(self, path: str, filtered: DataFrame | None = None) -> None:
         """The findings (or a selection from `filter_findings`) as ordered CSV."""
         chosen = self.findings if filtered is None else filtered
-        write_csv(flatten(chosen), path, [
-            F.desc("severity_rank"), F.asc("check_id"), F.asc("record_id"),
-        ])
+        write_csv(flatten(chosen.orderBy(*report_order())), path)
 
     def write_summary(self, path: str) -> None:
         write_json(self.summary(), path)

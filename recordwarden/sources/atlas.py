@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import country_key_value, person_key_value
 
@@ -99,6 +100,12 @@ def owner_regions_by_key(owner_regions: Mapping[str, str]) -> dict[str, str]:
     return {key: region for key, region in pairs if key and region}
 
 
+# A policy map beyond this many entries is joined without a broadcast hint.
+MAX_BROADCAST_ROWS = 100_000
+
+
 def dimension(spark: SparkSession, mapping: Mapping[str, str], key: str, value: str) -> DataFrame:
+    """A two-column lookup table, to be broadcast while its known size allows it."""
     columns = {key: list(mapping.keys()), value: list(mapping.values())}
-    return spark.createDataFrame(pa.table(columns, pa.schema([(c, pa.string()) for c in columns])))
+    frame = spark.createDataFrame(pa.table(columns, pa.schema([(c, pa.string()) for c in columns])))
+    return F.broadcast(frame) if len(mapping) <= MAX_BROADCAST_ROWS else frame
