@@ -20,7 +20,8 @@ from ..operators.findings import (
     Rule, emit, facets, filter_findings, flatten, of_checks, severity_counts,
 )
 from ..operators.row_checks import (
-    deliverability_rules, inactivity_rules, missing_field_rules, routing_rules, with_email_diagnosis,
+    deliverability_rules, inactivity_rules, missing_field_rules, routing_rules, with_ages,
+    with_email_diagnosis,
 )
 from ..plans.audit import CHECK_NAMES, run_checks
 from ..plans.correction_bundle import candidate_tables, row_counts
@@ -256,8 +257,8 @@ def lapsed_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = events.groupBy("user_id").agg(
         F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("last_purchase")
     )
-    rules = inactivity_rules(F.col("last_purchase"), last_event, 3, "lapsed_buyers", "last_purchase")
-    return _decay_columns(emit(bought, "users", rules, "user_id"))
+    rules = inactivity_rules("days", 3, "lapsed_buyers", "last_purchase")
+    return _decay_columns(emit(with_ages(bought, last_event, days="last_purchase"), "users", rules, "user_id"))
 
 
 @register
@@ -282,7 +283,7 @@ def published_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     ])
     diagnosed = with_email_diagnosis(sources, "address", b.policy().role_mailboxes)
-    return emit(diagnosed, "documents", deliverability_rules("address"), "place").select(
+    return emit(diagnosed, "documents", deliverability_rules(), "place").select(
         "record_id", "severity", "meta.reason", "meta.email", "meta.tld", "meta.likely_tld"
     )
 

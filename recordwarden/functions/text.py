@@ -13,10 +13,12 @@ WHITESPACE = (
     "           "
     "    　"
 )
-_WS = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+# The same characters inside a pattern that starts with `(?U)`. Listing them one by
+# one makes the pattern more than ten times slower.
+_WS = r"\s\x1c-\x1f"
 
 # Fixed value: the shape of a deliverable address.
-EMAIL_PATTERN = rf"^[^@{_WS}]+@[^@{_WS}]+\.[^@{_WS}.]+$"
+EMAIL_PATTERN = rf"(?U)^[^@{_WS}]+@[^@{_WS}]+\.[^@{_WS}.]+$"
 
 # Top-level domains accepted without comment.
 KNOWN_TLDS = (
@@ -114,8 +116,7 @@ def likely_tld(tld: Column, targets: tuple[str, ...] = TYPO_TARGETS) -> Column:
 
 def fold_company(c: Column) -> Column:
     words = F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
-    kept = F.regexp_replace(words, r"\b(?:" + "|".join(LEGAL_WORDS) + r")\b", "")
-    return F.trim(F.regexp_replace(kept, " +", " "))
+    return F.trim(F.regexp_replace(words, "(?:^| )(?:" + "|".join(LEGAL_WORDS) + ")(?= |$)", ""))
 
 
 def company_key(c: Column) -> Column:
@@ -137,7 +138,7 @@ def country_key(c: Column) -> Column:
 
 
 def person_key(c: Column) -> Column:
-    return empty_to_null(F.trim(F.regexp_replace(casefold(c), f"[{_WS}]+", " ")))
+    return empty_to_null(F.trim(F.regexp_replace(casefold(c), f"(?U)[{_WS}]+", " ")))
 
 
 def stage_is_open(stage: Column) -> Column:

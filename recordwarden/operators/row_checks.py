@@ -57,68 +57,77 @@ def missing_field_rules(
     ]
 
 
+def with_ages(df: DataFrame, as_of: dt.datetime, **dates: str) -> DataFrame:
+    """Adds whole days between a date column and the reference date, under the given names."""
+    today = timestamp_literal(as_of)
+    return df.withColumns({name: days_between(F.col(c), today) for name, c in dates.items()})
+
+
 def inactivity_rules(
-    last_seen: Column, as_of: dt.datetime, threshold: int,
-    check_id: str = "decayed_contacts", field: str = "last_activity_date",
+    days: str, threshold: int, check_id: str = "decayed_contacts", field: str = "last_activity_date"
 ) -> list[Rule]:
-    days = days_between(last_seen, timestamp_literal(as_of))
+    age = F.col(days)
     return [Rule(
         check_id=check_id,
         severity=MEDIUM,
         field=field,
-        when=F.coalesce(days > threshold, F.lit(False)),
+        when=age > threshold,
         message=text.sentence(
-            "Silent for ", days, " days (about ", F.floor(days / 30),
+            "Silent for ", age, " days (about ", F.floor(age / 30),
             f" months), longer than the {threshold} days allowed. Win back or suppress.",
         ),
-        meta={"days_inactive": days, "threshold_days": F.lit(threshold)},
+        meta={"days_inactive": age, "threshold_days": F.lit(threshold)},
     )]
 
 
 def with_email_diagnosis(df: DataFrame, email: str, role_mailboxes: Sequence[str]) -> DataFrame:
-    """Adds the standardized address, its domain ending and the first problem that applies."""
-    df = df.withColumn("_email", text.email_key(F.col(email)))
-    df = df.withColumn("_email_tld", text.email_tld(F.col("_email")))
-    problem = (
-        F.when(F.col("_email").isNull(), F.lit(None).cast("string"))
-        .when(~text.email_is_valid(F.col("_email")), F.lit("invalid_syntax"))
-        .when(text.tld_is_suspicious(F.col("_email_tld")), F.lit("suspicious_tld"))
-        .when(text.email_local(F.col("_email")).isin(*role_mailboxes), F.lit("role_based"))
+    """Adds the address, its parts and the first problem that applies.
+
+    The parts are only read once the address is known to be valid, so they need no checks.
+    """
+    e, problem = F.col("_email"), F.col("_email_problem")
+    tld, local = F.substring_index(e, ".", -1), F.substring_index(e, "@", 1)
+    return (
+        df.withColumn("_address", text.clean_text(F.col(email)))
+        .withColumn("_email", F.lower("_address"))
+        .withColumn(
+            "_email_problem",
+            F.when(e.isNull(), F.lit(None).cast("string"))
+            .when(~e.rlike(text.EMAIL_PATTERN), "invalid_syntax")
+            .when(~tld.isin(*text.KNOWN_TLDS), "suspicious_tld")
+            .when(local.isin(*role_mailboxes), "role_based"),
+        )
+        .withColumn("_email_tld", F.when(problem == "suspicious_tld", tld))
+        .withColumn("_email_likely", text.likely_tld(F.col("_email_tld")))
+        .withColumn("_email_local", F.when(problem == "role_based", local))
     )
-    return df.withColumn("_email_problem", problem)
 
 
-def deliverability_rules(email: str = "email", check_id: str = "email_deliverability") -> list[Rule]:
+def deliverability_rules(check_id: str = "email_deliverability") -> list[Rule]:
     """Rules over the columns of `with_email_diagnosis`."""
-    problem, tld = F.col("_email_problem"), F.col("_email_tld")
-    address = text.strip(F.col(email))
-    likely = text.likely_tld(tld)
-    local = text.email_local(F.col("_email"))
-
-    def is_(reason: str) -> Column:
-        return F.coalesce(problem == reason, F.lit(False))
-
+    address, problem, tld = F.col("_address"), F.col("_email_problem"), F.col("_email_tld")
+    likely, local = F.col("_email_likely"), F.col("_email_local")
     return [
         Rule(
-            check_id, HIGH, "email", is_("invalid_syntax"),
+            check_id, HIGH, "email", problem == "invalid_syntax",
             text.sentence("'", address, "' is not an email address and cannot receive mail."),
-            meta={"reason": F.lit("invalid_syntax"), "email": address},
+            meta={"reason": problem, "email": address},
         ),
         Rule(
-            check_id, HIGH, "email", is_("suspicious_tld"),
+            check_id, HIGH, "email", problem == "suspicious_tld",
             text.sentence(
                 "'.", tld, "' is not a known domain ending",
                 F.coalesce(text.sentence(", probably meant as '.", likely, "'"), F.lit("")),
                 "; mail will bounce.",
             ),
-            meta={"reason": F.lit("suspicious_tld"), "tld": tld, "likely_tld": likely, "email": address},
+            meta={"reason": problem, "tld": tld, "likely_tld": likely, "email": address},
         ),
         Rule(
-            check_id, MEDIUM, "email", is_("role_based"),
+            check_id, MEDIUM, "email", problem == "role_based",
             text.sentence(
                 "'", local, "@' is a role mailbox, not a person; expect complaints and few replies."
             ),
-            meta={"reason": F.lit("role_based"), "local_part": local},
+            meta={"reason": problem, "local_part": local},
         ),
     ]
 
@@ -151,7 +160,7 @@ def routing_rules(
         check_id=check_id or f"routing_{object_type}",
         severity=HIGH,
         field="owner",
-        when=F.coalesce(covers != lies_in, F.lit(False)),
+        when=covers != lies_in,
         message=text.sentence(
             f"{noun} in ", F.col(country), " belongs to ", lies_in, ", but its owner ", F.col(owner),
             " covers ", covers, ". Hand it to someone in ", lies_in, ".",
@@ -167,16 +176,20 @@ def _amount_clause(amount: Column) -> Column:
     return F.coalesce(text.sentence(" worth $", F.format_number(amount, 0)), F.lit(""))
 
 
-def stale_deal_rules(
-    as_of: dt.datetime, threshold: int, *, stage: str = "deal_stage", amount: str = "amount",
-    name: str = "deal_name", last_seen: str = "last_activity_date",
-) -> list[Rule]:
-    days = days_between(F.col(last_seen), timestamp_literal(as_of))
+def with_deal_state(df: DataFrame, as_of: dt.datetime, stage: str = "deal_stage") -> DataFrame:
+    """Adds whether a deal is open, its idle days and its days past the close date."""
+    df = with_ages(df, as_of, _days_idle="last_activity_date", _days_overdue="close_date")
+    return df.withColumn("_is_open", text.stage_is_open(F.col(stage)))
+
+
+def stale_deal_rules(threshold: int, amount: str = "amount", name: str = "deal_name") -> list[Rule]:
+    """Rule over the columns of `with_deal_state`."""
+    days = F.col("_days_idle")
     return [Rule(
         check_id="stale_deals",
         severity=HIGH,
         field="last_activity_date",
-        when=text.stage_is_open(F.col(stage)) & F.coalesce(days > threshold, F.lit(False)),
+        when=F.col("_is_open") & (days > threshold),
         message=text.sentence(
             "Open deal", _amount_clause(F.col(amount)), " untouched for ", days,
             f" days, limit {threshold}. It still counts in the forecast.",
@@ -188,16 +201,14 @@ def stale_deal_rules(
     )]
 
 
-def past_close_rules(
-    as_of: dt.datetime, *, stage: str = "deal_stage", amount: str = "amount",
-    name: str = "deal_name", close: str = "close_date",
-) -> list[Rule]:
-    days = days_between(F.col(close), timestamp_literal(as_of))
+def past_close_rules(amount: str = "amount", name: str = "deal_name") -> list[Rule]:
+    """Rule over the columns of `with_deal_state`."""
+    days = F.col("_days_overdue")
     return [Rule(
         check_id="past_close_date",
         severity=HIGH,
         field="close_date",
-        when=text.stage_is_open(F.col(stage)) & F.coalesce(days > 0, F.lit(False)),
+        when=F.col("_is_open") & (days > 0),
         message=text.sentence(
             "Open deal", _amount_clause(F.col(amount)), " should have closed ", days,
             " days ago. Set a new date or close it.",

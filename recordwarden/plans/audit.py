@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..config import AuditConfig
 from ..model import COMPANIES, CONTACTS, DEALS, FINDINGS_SCHEMA, CrmTables, empty_findings, union_all
@@ -13,7 +12,7 @@ from ..operators.duplicates import duplicate_companies, duplicate_contacts
 from ..operators.findings import Rule, emit
 from ..operators.row_checks import (
     deliverability_rules, inactivity_rules, missing_field_rules, past_close_rules, routing_rules,
-    stale_deal_rules, with_email_diagnosis, with_regions,
+    stale_deal_rules, with_ages, with_deal_state, with_email_diagnosis, with_regions,
 )
 
 # Check ids in running order with their display names.
@@ -44,7 +43,8 @@ def contact_findings(tables: CrmTables, config: AuditConfig, checks: Sequence[st
     if "missing_fields_contacts" in wanted:
         rules += missing_field_rules(df, CONTACTS, config.required_fields.get(CONTACTS, ()))
     if "decayed_contacts" in wanted:
-        rules += inactivity_rules(F.col("last_activity_date"), tables.as_of, config.decayed_contact_days)
+        df = with_ages(df, tables.as_of, _days_idle="last_activity_date")
+        rules += inactivity_rules("_days_idle", config.decayed_contact_days)
     if "email_deliverability" in wanted:
         df = with_email_diagnosis(df, "email", config.role_mailboxes)
         rules += deliverability_rules()
@@ -74,10 +74,12 @@ def deal_findings(tables: CrmTables, config: AuditConfig, checks: Sequence[str])
     df, rules = tables.deals, []
     if "missing_fields_deals" in wanted:
         rules += missing_field_rules(df, DEALS, config.required_fields.get(DEALS, ()))
+    if wanted != {"missing_fields_deals"}:
+        df = with_deal_state(df, tables.as_of)
     if "stale_deals" in wanted:
-        rules += stale_deal_rules(tables.as_of, config.stale_deal_days)
+        rules += stale_deal_rules(config.stale_deal_days)
     if "past_close_date" in wanted:
-        rules += past_close_rules(tables.as_of)
+        rules += past_close_rules()
     return _emitted(df, DEALS, rules)
 
 

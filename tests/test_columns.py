@@ -62,6 +62,12 @@ def test_email_syntax(spark):
     ], lambda c: text.email_is_valid(text.email_key(c)))
 
 
+def test_every_blank_breaks_an_address_and_joins_a_name(spark):
+    check(spark, [(f"a{c}b@x.com", False) for c in text.WHITESPACE], text.email_is_valid)
+    check(spark, [(f"a@x{c}.com", False) for c in text.WHITESPACE], text.email_is_valid)
+    check(spark, [(f"{c}Al{c}{c}Bo{c}", "al bo") for c in text.WHITESPACE], text.person_key)
+
+
 def test_suspicious_endings(spark):
     check(spark, [
         ("co", False), ("io", False), ("de", False), ("cim", True), ("online", True), (None, False),
@@ -76,7 +82,8 @@ def test_company_key(spark):
     check(spark, [
         ("Northwind7 LLC", "northwind7"), ("Northwind7, Inc.", "northwind7"), ("The Group", None),
         ("S.A. Foods", "s a foods"), ("Incorporate Co-op", "incorporate op"), ("  ", None), (None, None),
-        ("A_B  Holdings C", "a b c"), ("Théâtre", "th tre"), ("co2 the inc incline", "co2 incline"),
+        ("A_B  Holdings C", "a b c"), ("Théâtre", "th tre"), ("co2 the inc incline", "co2 incline"), ("the the co", None),
+        (" The A the B group", "a b"), ("inc.co a", "a"),
     ], text.company_key)
 
 
