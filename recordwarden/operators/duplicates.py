@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_company, fold_domain, fold_email, sentence
 from ..model import COMPANIES, CONTACTS, HIGH, MEDIUM, detail_struct, severity_label, union_all
 
-# Pieces the members of one key are spread over for the join back; a power of two.
-LANES = 1024
+# Pieces the members of one key are spread over for the join back: one bit of a long each.
+LANES = 64
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,8 @@ def _flagged(df: DataFrame, key: Column, id_col: str) -> DataFrame:
 
     Equal (key, id) pairs are combined before the shuffle. The join back runs on
     (key, lane of the id), so a key shared by a large part of the table is read
-    by many tasks; a key only gets a row per lane its members really use.
+    by many tasks. Which lanes a key uses is kept as bits of a number, so a
+    small key gets a row for the lanes of its members only.
     """
     members = (
         df.select(key.alias("match_key"), F.col(id_col).cast("string").alias("record_id"))
@@ -47,14 +48,12 @@ def _flagged(df: DataFrame, key: Column, id_col: str) -> DataFrame:
         .agg(
             F.min(F.struct(F.length("record_id").alias("size"), "record_id")).alias("first"),
             F.sum("copies").alias("n"),
-            F.collect_set("lane").alias("lanes"),
+            F.bit_or(F.expr("shiftleft(1L, lane)")).alias("lanes"),
         )
         .where(F.col("n") > 1)
-        .select(
-            "match_key",
-            F.col("first.record_id").alias("master_record_id"),
-            F.explode("lanes").alias("lane"),
-        )
+        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+        .where(F.expr("(shiftright(lanes, lane) & 1L) = 1L"))
+        .select("match_key", F.col("first.record_id").alias("master_record_id"), "lane")
     )
     joined = members.join(masters, ["match_key", "lane"])
     # The master itself is only listed when further copies carry the same id.

@@ -6,7 +6,9 @@ import pytest
 
 import __spark_entry__ as entry_points
 from recordwarden.catalog import bindings
-from recordwarden.plans.audit import run_checks
+from recordwarden.plans.audit import (
+    CHECK_NAMES, company_findings, contact_findings, deal_findings, run_checks,
+)
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,10 +17,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
-def test_no_python_and_no_cross_join(spark, name):
-    text = plan(entry_points.queries()[name](spark, SF_DIR))
-    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|Pandas", text)
+@pytest.mark.parametrize("part", [contact_findings, company_findings, deal_findings])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, part):
+    """The JVM only interprets methods beyond 8000 bytes."""
+    found = part(bindings.crm(spark, SF_DIR), bindings.policy(), list(CHECK_NAMES))
+    code = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "codegen")
+    assert all(int(size) < 8000 for size in re.findall(r"maxMethodCodeSize:(\d+)", code))
 
 
 def test_row_checks_of_a_table_share_one_scan(spark):
