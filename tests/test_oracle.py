@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from recordwarden.catalog.oracle import all_sql
+from recordwarden.catalog.queries import all_queries
 
 from .oracle_check import compare, connect
 
@@ -15,10 +17,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
+    assert set(all_queries()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query_equals_sql(spark, con, name):
     _, problems = compare(spark, con, SF_DIR, name)
     assert not problems
