@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import order_bucket, staged, with_running_total
-from .tokens import END_ID, TokenEncoder
+from .tokens import END_ID, worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     end = END_ID.to_bytes(4, "little")
 
     def compute(batches):
-        encoder = TokenEncoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):

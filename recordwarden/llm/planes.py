@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staging_path
 from .common import staged
-from .tokens import END_ID, TokenEncoder
+from .tokens import END_ID, worker_encoder
 
 MAGIC = b"IDPLANES"
 HEAD = "<8sIII"
@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, planes: str
 
         files, root = fs.FileSystem.from_uri(folder)
         number = TaskContext.get().partitionId()
-        encoder, writer, sink = TokenEncoder(vocabulary), None, None
+        encoder, writer, sink = worker_encoder(vocabulary), None, None
         draft = f"{root}/.{number:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             if writer is None:

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import os
+import sys
+from itertools import compress, repeat
+from operator import is_
+from string import punctuation
+from types import ModuleType
 
 import numpy as np
 
 END_ID = 2
-#: Distinct text pieces whose ids a worker remembers (about 100 MB); beyond it the memory starts afresh.
-REMEMBERED = 400_000
+#: Distinct text pieces whose ids a worker remembers (about 150 MB); beyond it the memory starts afresh.
+REMEMBERED = 700_000
 #: Characters encoded together, which bounds the pieces held at once.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
+
+#: White space other than the space and the line break, and the mark that pieces are cut at.
+_OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["\x00"]
+_OTHER_ASCII = [c for c in _OTHER if c.isascii()]
 
 
 class TokenEncoder:
@@ -24,10 +33,12 @@ class TokenEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer, self._words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = self._words.encode_special_tokens = True
+        # A run of letters is never split: no need to match the pattern.
+        self._words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._known: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
@@ -45,23 +56,45 @@ class TokenEncoder:
 
     def _encode_part(self, texts: list[str]) -> list[bytes]:
         pieces = [_pieces(text) for text in texts]
-        new = set().union(*(p for p in pieces if p is not None)).difference(self._known)
+        found = [None if p is None else list(map(self._known.get, p)) for p in pieces]
+        new: set[str] = set()
+        for p, ids in zip(pieces, found):
+            if ids is not None and None in ids:
+                new.update(compress(p, map(is_, ids, repeat(None))))
         if len(self._known) + len(new) > REMEMBERED:
             self._known = {}
-            new = set().union(*(p for p in pieces if p is not None))
-        self._learn(list(new))
+            new = set().union(*(p for p, ids in zip(pieces, found) if ids is not None and None in ids))
+        self._learn_all(new)
         known = self._known.__getitem__
         return [
-            b"".join(map(known, p)) if p is not None else self._whole(text) for text, p in zip(texts, pieces)
+            self._whole(text) if ids is None else b"".join(map(known, p) if None in ids else ids)
+            for text, p, ids in zip(texts, pieces, found)
         ]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn_all(self, new: set[str]) -> None:
+        """Learn pieces; a word with signs after it has the ids of the word and then of the signs."""
+        words, others, joined = set(), set(), []
+        for piece in new:
+            word = piece.rstrip(punctuation)
+            if not word.removeprefix(" ").isalpha():
+                others.add(piece)
+                continue
+            words.add(word)
+            if len(word) < len(piece):
+                others.add(piece[len(word):])
+                joined.append((piece, word, piece[len(word):]))
+        known = self._known
+        self._learn(self._words, [w for w in words if w not in known])
+        self._learn(self._tokenizer, [o for o in others if o not in known])
+        known.update((piece, known[word] + known[signs]) for piece, word, signs in joined)
+
+    def _learn(self, tokenizer, pieces: list[str]) -> None:
         if not pieces:
             return
-        encoded = self._tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        encoded = tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(encoded.ids, dtype="<u4").tobytes()
         places = np.array([-1 if w is None else w for w in encoded.word_ids], dtype=np.int64)
         ends = (4 * np.searchsorted(places, np.arange(len(pieces)), side="right")).tolist()
@@ -70,9 +103,18 @@ class TokenEncoder:
 
 def _pieces(text: str) -> list[str] | None:
     """The text cut before each single space and around each single line break; None if it has other white space."""
-    if "\x00" in text:
+    if not text:
+        return []
+    if text[0] in " \n" or text[-1] in " \n" or any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
+        return None
+    if any(c in text for c in (_OTHER_ASCII if text.isascii() else _OTHER)):
         return None
-    plain = text.replace("\n", " ").split(" ")
-    if "" in plain or len(text.split()) != len(plain):
-        return None if text else []
     return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+
+
+def worker_encoder(path: str) -> TokenEncoder:
+    """The encoder of this Python worker; the tasks it runs one after another share its memory."""
+    held = sys.modules.setdefault("_recordwarden_encoders", ModuleType("_recordwarden_encoders"))
+    if path not in held.__dict__:
+        held.__dict__[path] = TokenEncoder(path)
+    return held.__dict__[path]
