@@ -96,15 +96,20 @@ def labelled_strings(docs: DataFrame, random_docs: int = 2000, plain_docs: int =
     neighbouring words, joined the way identifiers are, in lower, title and upper case. Documents
     without a base span give the ordinary ones.
     """
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("draw"))
-    pattern = F.rlike(F.col("text"), F.lit(rf"{ASSIGN}|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}}"))
-    found = texts.where(pattern).orderBy("draw").limit(random_docs).select(F.explode(F.array_distinct(F.concat(
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64("doc_id").alias("draw"))
+    secret = F.rlike(F.col("text"), F.lit(rf"{ASSIGN}|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}}"))
+    # Only what is needed of a text takes part in the ordering.
+    strings = F.array_distinct(F.concat(
         F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: (F.char_length(v) >= 16) & v.rlike("[0-9]")),
         F.regexp_extract_all("text", F.lit(r"AKIA[A-Z0-9]{16,}"), F.lit(0)),
         F.regexp_extract_all("text", F.lit(r"[0-9a-f]{24,}"), F.lit(0)),
-    ))).alias("value"))
-    words = F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), F.lit(0))
-    plain = texts.where(~pattern).orderBy("draw").limit(plain_docs).select(F.slice(words, 1, words_each).alias("words"))
+    ))
+    found = texts.where(secret).select("draw", F.slice(strings, 1, words_each).alias("strings"))
+    found = found.orderBy("draw", F.xxhash64("strings")).limit(random_docs).select(F.explode("strings").alias("value"))
+    lowest = texts.select("draw").orderBy("draw").limit(plain_docs).agg(F.max("draw")).first()[0]
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), F.lit(0)), 1, words_each)
+    plain = texts.where(F.col("draw") <= F.lit(lowest).cast("long")).where(~secret).select("draw", words.alias("words"))
+    plain = plain.orderBy("draw", F.xxhash64("words")).limit(plain_docs)
     three = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 2), F.lit(3)), lambda i: F.slice(F.col("words"), i, 3)
     )
