@@ -302,12 +302,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     classes = staged(named.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "passages_classes")
 
     anchors = named.join(classes, ["sha", "doc_id"]).select("sha", "doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # Written, so that both sides of the join come from plain exchanges and a hot anchor can be split.
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    shared = staged(shared.select("anchor"), "passages_anchors")
     touched = anchors.join(shared, "anchor").groupBy("sha", "doc_id").agg(F.collect_set("anchor").alias("anchors"))
     texts = staged(_words_of(source.join(touched, "doc_id").select("doc_id", "text", "sha", "anchors")), "passages_texts")
 
     windows = staged(_windows(texts, window, anchor), "passages_windows")
-    repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("b")).where("ref < b").select("hash", "ref")
+    repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("b")).where("ref < b")
+    repeated = staged(repeated.select("hash", "ref"), "passages_repeated")
     runs = windows.join(repeated, "hash").groupBy("cid").agg(F.collect_list("pos").alias("places"), F.collect_list("ref").alias("owners"))
     lines = texts.select("sha", "cid", "doc_id", "line")
     passages = staged(_passages(lines.join(runs, "cid"), window), "passages_runs")
