@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+from array import array
 from itertools import compress, repeat
 from operator import is_
 from string import punctuation
@@ -12,8 +13,9 @@ from types import ModuleType
 import numpy as np
 
 END_ID = 2
-#: Distinct text pieces whose ids a worker remembers (about 150 MB); beyond it the memory starts afresh.
-REMEMBERED = 700_000
+#: Distinct text pieces whose ids a worker remembers (about 200 MB); beyond it the long ones are forgotten.
+REMEMBERED = 900_000
+SHORT = 8
 #: Characters encoded together, which bounds the pieces held at once.
 TOGETHER = 1_000_000
 
@@ -22,6 +24,18 @@ _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in "
 _OTHER_ASCII = [c for c in _OTHER if c.isascii()]
 
 
+class _ByteLetters(dict):
+    """For str.translate: the letters that a byte-level vocabulary has for the bytes of a character."""
+
+    def __init__(self, splitter) -> None:
+        super().__init__()
+        self._splitter = splitter
+
+    def __missing__(self, character: int) -> str:
+        letters = self[character] = self._splitter.pre_tokenize_str(chr(character))[0][0]
+        return letters
+
+
 class TokenEncoder:
     """Ids of whole texts for a byte-level BPE vocabulary file.
 
@@ -35,10 +49,10 @@ class TokenEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer, self._words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = self._words.encode_special_tokens = True
-        # A run of letters is never split: no need to match the pattern.
-        self._words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        self._letters = _ByteLetters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         self._known: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
@@ -62,12 +76,13 @@ class TokenEncoder:
             if ids is not None and None in ids:
                 new.update(compress(p, map(is_, ids, repeat(None))))
         if len(self._known) + len(new) > REMEMBERED:
-            self._known = {}
-            new = set().union(*(p for p, ids in zip(pieces, found) if ids is not None and None in ids))
+            kept = {piece: ids for piece, ids in self._known.items() if len(piece) <= SHORT}
+            self._known = kept if len(kept) < REMEMBERED // 2 else {}
+            new = set().union(*(p for p in pieces if p is not None)).difference(self._known)
         self._learn_all(new)
         known = self._known.__getitem__
         return [
-            self._whole(text) if ids is None else b"".join(map(known, p) if None in ids else ids)
+            self._whole(text) if p is None else b"".join(map(known, p) if None in ids else ids)
             for text, p, ids in zip(texts, pieces, found)
         ]
 
@@ -87,14 +102,25 @@ class TokenEncoder:
                 others.add(piece[len(word):])
                 joined.append((piece, word, piece[len(word):]))
         known = self._known
-        self._learn(self._words, [w for w in words if w not in known])
-        self._learn(self._tokenizer, [o for o in others if o not in known])
+        self._learn_words([w for w in words if w not in known])
+        self._learn([o for o in others if o not in known])
         known.update((piece, known[word] + known[signs]) for piece, word, signs in joined)
 
-    def _learn(self, tokenizer, pieces: list[str]) -> None:
+    def _learn_words(self, words: list[str]) -> None:
+        """A run of letters is never split, so it goes to the merges at once, its bytes spelt as the vocabulary does."""
+        merge, letters = self._model.tokenize, self._letters
+        ids = array("I")
+        ends = []
+        for word in words:
+            ids.extend([token.id for token in merge(word.translate(letters))])
+            ends.append(4 * len(ids))
+        data = np.frombuffer(ids, dtype=f"u{ids.itemsize}").astype("<u4").tobytes()
+        self._known.update(zip(words, (data[s:e] for s, e in zip([0, *ends], ends))))
+
+    def _learn(self, pieces: list[str]) -> None:
         if not pieces:
             return
-        encoded = tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        encoded = self._tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(encoded.ids, dtype="<u4").tobytes()
         places = np.array([-1 if w is None else w for w in encoded.word_ids], dtype=np.int64)
         ends = (4 * np.searchsorted(places, np.arange(len(pieces)), side="right")).tolist()
