@@ -339,12 +339,13 @@ _ROUTED = """SELECT record_id, message, owner, owner_region, record_country, rec
 _FLAT = """SELECT check_id, object_type, record_id, severity, CAST(sev AS INTEGER) AS severity_rank, message, field,
   {cost} AS revenue_impact_usd, coalesce(master, '') AS related_record_ids, {risk} AS at_risk_usd"""
 _EMAIL_FIX = """SELECT record_id AS "Record ID", lower(trim(email_raw)) AS "Email" FROM contacts
-  WHERE trim(email_raw) <> '' AND email_raw <> lower(trim(email_raw))
+  WHERE trim(email_raw) <> '' AND {} <> lower(trim(email_raw))
     AND record_id NOT IN (SELECT record_id FROM contact_clusters)"""
 _COUNTRY_FIX = 'SELECT record_id AS "Record ID", name AS "Country/Region" FROM {} JOIN country_names ON key = ' + \
-    _country_key("country") + " WHERE country_raw <> name"
+    _country_key("country") + " WHERE {} <> name"
 _TYPO_FIX = """SELECT record_id AS "Record ID", email AS "Current Email",
-  left(email, length(email) - length(tld)) || likely_tld AS "Suggested Email", '' AS "Confirmed? (yes/no)"
+  CASE WHEN ends_with({}, tld) THEN left(email, length(email) - length(tld)) || likely_tld ELSE '' END AS "Suggested Email",
+  '' AS "Confirmed? (yes/no)"
   FROM labeled WHERE reason = 'suspicious_tld' AND likely_tld IS NOT NULL"""
 _DEAL_FIX = """SELECT record_id AS "Record ID", deal_name AS "Deal Name",
   CASE check_id WHEN 'stale_deals' THEN 'Stale' ELSE 'Past close date' END AS "Issue",
@@ -474,10 +475,13 @@ def all_sql() -> dict[str, str]:
         "finding_facets": _found("""SELECT 'object_type' AS facet, object_type AS value, count(*) AS findings FROM labeled GROUP BY ALL
             UNION ALL SELECT 'severity', severity, count(*) FROM labeled GROUP BY ALL
             UNION ALL SELECT 'check_id', check_id, count(*) FROM labeled GROUP BY ALL"""),
-        "fix_email_case": _found(_EMAIL_FIX),
-        "fix_contact_countries": _sql(_COUNTRY_FIX.format("contacts"), _TABLES, _DIMENSIONS),
-        "fix_company_countries": _sql(_COUNTRY_FIX.format("companies"), _TABLES, _DIMENSIONS),
-        "fix_email_typos": _found(_TYPO_FIX),
+        "fix_email_case": _found(_EMAIL_FIX.format("trim(email_raw)")),
+        "fix_email_case_and_padding": _found(_EMAIL_FIX.format("email_raw")),
+        "fix_contact_countries_and_padding": _sql(_COUNTRY_FIX.format("contacts", "country_raw"), _TABLES, _DIMENSIONS),
+        "fix_email_typos_any_case": _found(_TYPO_FIX.format("lower(email)")),
+        "fix_contact_countries": _sql(_COUNTRY_FIX.format("contacts", "trim(country_raw)"), _TABLES, _DIMENSIONS),
+        "fix_company_countries": _sql(_COUNTRY_FIX.format("companies", "trim(country_raw)"), _TABLES, _DIMENSIONS),
+        "fix_email_typos": _found(_TYPO_FIX.format("email")),
         "fix_merges": _found("""SELECT CASE object_type WHEN 'contacts' THEN 'Contacts' ELSE 'Companies' END AS "Object",
             record_id AS "Merge This Record ID", master AS "Into This Record ID", match_type AS "Matched On",
             match_key AS "Matched Value", '' AS "Done? (yes/no)" FROM labeled
@@ -498,10 +502,10 @@ def all_sql() -> dict[str, str]:
                 ("worklist_pipeline_review.csv", _DEAL_FIX),
                 ("worklist_merge_duplicates.csv", "SELECT 1 FROM labeled WHERE check_id LIKE 'duplicate_%'"),
                 ("worklist_reassign_owners.csv", "SELECT 1 FROM labeled WHERE check_id LIKE 'routing_%'"),
-                ("import_contacts_email_normalized.csv", _EMAIL_FIX),
-                ("import_contacts_country_standardized.csv", _COUNTRY_FIX.format("contacts")),
-                ("import_companies_country_standardized.csv", _COUNTRY_FIX.format("companies")),
-                ("review_email_typos.csv", _TYPO_FIX),
+                ("import_contacts_email_normalized.csv", _EMAIL_FIX.format("trim(email_raw)")),
+                ("import_contacts_country_standardized.csv", _COUNTRY_FIX.format("contacts", "trim(country_raw)")),
+                ("import_companies_country_standardized.csv", _COUNTRY_FIX.format("companies", "trim(country_raw)")),
+                ("review_email_typos.csv", _TYPO_FIX.format("email")),
                 *[(f"template_{t}_missing_fields.csv",
                    f"SELECT DISTINCT record_id FROM labeled WHERE check_id = 'missing_fields_{t}'")
                   for t in ("contacts", "companies", "deals")],

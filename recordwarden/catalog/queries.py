@@ -17,7 +17,7 @@ from ..model import (
 from ..operators import corrections, owners, scoring
 from ..operators.duplicates import MatchPass, duplicate_members
 from ..operators.findings import (
-    Rule, emit, facets, filter_findings, flatten, of_checks, severity_counts,
+    Rule, emit, facets, filter_findings, flatten, of_checks, report_order, severity_counts,
 )
 from ..operators.row_checks import (
     deliverability_rules, inactivity_rules, missing_field_rules, routing_rules, with_ages,
@@ -272,7 +272,10 @@ def email_deliverability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def published_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of every address found in whole documents and web pages."""
-    pattern = F.lit(r"[^\s<>\"'(),;:=]+@[^\s<>\"'(),;:=]+")
+    # A match starts where a run of these characters starts; no other place is tried, so long runs
+    # without an @ cost one pass.
+    run = r"\s<>\"'(),;:="
+    pattern = F.lit(rf"(?<![^{run}])(?:@[^@{run}]*+|[^@{run}]++)@[^{run}]+")
     sources = union_all([
         b.table(spark, sf_dir, name).select(
             F.concat(F.lit(prefix), F.col(key).cast("string")).alias("place"),
@@ -309,9 +312,9 @@ def routing_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shipments_across_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines whose supplier and customer lie in different regions; two nations are unmapped."""
     regions = (
-        b.table(spark, sf_dir, "nation").where(~F.col("n_nationkey").isin(3, 17))
-        .join(b.table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-        .select("n_nationkey", "n_name", "r_name")
+        b.table(spark, sf_dir, "nation")
+        .join(b.table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+        .select("n_nationkey", "n_name", F.when(~F.col("n_nationkey").isin(3, 17), F.col("r_name")).alias("r_name"))
     )
     supplied = b.table(spark, sf_dir, "supplier").join(
         regions, F.col("s_nationkey") == F.col("n_nationkey")
@@ -350,7 +353,8 @@ def past_close_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten(_priced(spark, sf_dir))
+    """Every finding, priced, in report order."""
+    return flatten(_priced(spark, sf_dir).orderBy(*report_order()))
 
 
 @register
@@ -488,6 +492,22 @@ def fix_email_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.email_normalization(tables.contacts, run_checks(tables, b.policy()))
 
 
+@register
+def fix_email_case_and_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = b.crm(spark, sf_dir)
+    return corrections.email_normalization(tables.contacts, run_checks(tables, b.policy()), repair_padding=True)
+
+
+@register
+def fix_contact_countries_and_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corrections.country_standardization(b.contacts(spark, sf_dir), CONTACTS, repair_padding=True)
+
+
+@register
+def fix_email_typos_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corrections.email_typo_suggestions(_findings(spark, sf_dir), ignore_case=True)
+
+
 @register
 def fix_contact_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.country_standardization(b.contacts(spark, sf_dir), CONTACTS)

@@ -48,10 +48,11 @@ def _uncleaned(df: DataFrame, column: str) -> str:
     return f"{column}_raw" if f"{column}_raw" in df.columns else column
 
 
-def email_normalization(contacts: DataFrame, findings: DataFrame) -> DataFrame:
-    """Addresses with stray case or padding. Records about to be merged are left out:
-    the corrected address would collide with the one of their master."""
+def email_normalization(contacts: DataFrame, findings: DataFrame, repair_padding: bool = False) -> DataFrame:
+    """Addresses with stray case, or also with padding. Records about to be merged are left
+    out: the corrected address would collide with the one of their master."""
     raw = F.col(_uncleaned(contacts, "email"))
+    raw = raw if repair_padding else text.strip(raw)
     changed = contacts.select(
         "record_id", raw.alias("_raw"), text.email_key(raw).alias("_email")
     ).where(F.col("_raw") != F.col("_email"))
@@ -76,20 +77,23 @@ def with_canonical_country(df: DataFrame, country: str, into: str = "canonical_c
     )
 
 
-def country_standardization(df: DataFrame, object_type: str) -> DataFrame:
-    raw = _uncleaned(df, "country")
-    named = with_canonical_country(df.select("record_id", F.col(raw).alias("_raw")), "_raw", "_canonical")
+def country_standardization(df: DataFrame, object_type: str, repair_padding: bool = False) -> DataFrame:
+    """Countries under another spelling, or also with padding, and the one spelling to use."""
+    raw = F.col(_uncleaned(df, "country"))
+    raw = raw if repair_padding else text.strip(raw)
+    named = with_canonical_country(df.select("record_id", raw.alias("_raw")), "_raw", "_canonical")
     return named.where(F.col("_raw") != F.col("_canonical")).select(
         F.col("record_id").alias(export_header(object_type, "record_id")),
         F.col("_canonical").alias(export_header(object_type, "country")),
     )
 
 
-def email_typo_suggestions(findings: DataFrame) -> DataFrame:
-    """Mistyped domain endings with a proposal, only where one is likely."""
+def email_typo_suggestions(findings: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """Mistyped domain endings with a proposal, only where one is likely. An ending in capitals
+    is replaced only with `ignore_case`."""
     email, tld, likely = F.col("meta.email"), F.col("meta.tld"), F.col("meta.likely_tld")
     stem = F.substr(email, F.lit(1), F.length(email) - F.length(tld))
-    suggested = F.when(F.endswith(F.lower(email), tld), F.concat(stem, likely)).otherwise("")
+    suggested = F.when(F.endswith(F.lower(email) if ignore_case else email, tld), F.concat(stem, likely)).otherwise("")
     return (
         of_checks(findings, "email_deliverability")
         .where((F.col("meta.reason") == "suspicious_tld") & likely.isNotNull() & (email != ""))

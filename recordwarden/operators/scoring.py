@@ -16,6 +16,8 @@ from ..model import DEALS, severity_label
 # Fixed value: a record cannot lose more than this.
 MAX_PENALTY = 6.0
 OVERALL = "overall"
+#: Into so many groups the findings of one record id are spread; results do not depend on it.
+EXPOSURE_LANES = 64
 
 
 # --- pricing -----------------------------------------------------------------
@@ -35,26 +37,27 @@ def neglect_days() -> Column:
 def _with_deal_exposure(findings: DataFrame, bands: Sequence[tuple[int, float]]) -> DataFrame:
     """`at_risk_usd` on the worst finding of each deal, 0 on its other findings.
 
-    The best finding is picked within (record, input partition) first and among
-    those winners second. A blank or repeated record id shared by very many rows
-    is therefore never sorted by one task.
+    The best finding is picked within (record, lane) first and among those
+    winners second. A blank or repeated record id shared by very many rows is
+    therefore never sorted by one task. Lanes and ties depend on the findings
+    alone, so the owner does not change with the partitions.
     """
     amount = F.col("meta.amount")
     factor = risk_factor(neglect_days(), bands)
     exposed = findings.withColumn(
         "_exposure", F.when(amount.isNotNull() & (factor > 0), amount * factor)
-    ).withColumn("_lane", F.spark_partition_id())
-    ranking = [F.desc_nulls_last("_exposure"), F.asc("check_id")]
+    ).withColumn("_hash", F.xxhash64(*findings.columns)).withColumn("_lane", F.pmod("_hash", F.lit(EXPOSURE_LANES)))
+    ranking = [F.desc_nulls_last("_exposure"), F.asc("check_id"), F.asc("message"), F.asc("_hash")]
     local = Window.partitionBy("record_id", "_lane").orderBy(*ranking)
     exposed = exposed.withColumn(
         "_leads", (F.row_number().over(local) == 1) & F.col("_exposure").isNotNull()
     )
     group = F.when(F.col("_leads"), F.lit(-1)).otherwise(F.col("_lane"))
-    final = Window.partitionBy("record_id", group).orderBy(*ranking, F.asc("_lane"))
+    final = Window.partitionBy("record_id", group).orderBy(*ranking)
     owns = F.col("_leads") & (F.row_number().over(final) == 1)
     return exposed.withColumn(
         "at_risk_usd", F.when(owns, round_exact(F.col("_exposure"), 2)).otherwise(F.lit(0.0))
-    ).drop("_exposure", "_lane", "_leads")
+    ).drop("_exposure", "_hash", "_lane", "_leads")
 
 
 def price_findings(findings: DataFrame, assumptions: CostAssumptions | None = None) -> DataFrame:

@@ -90,11 +90,14 @@ def read_export(
     """Read a CSV file or directory and conform it.
 
     `multi_line` accepts line breaks inside quotes but reads each file in one
-    task; turn it off for large clean exports so that files are split.
-    `check_rows` fails on rows with more cells than the header; turning it off
-    lets the parser skip unused columns. All files must share one header, which
-    Spark verifies per file.
+    task; turn it off for large exports so that files are split. `check_rows`
+    fails on rows with more cells than the header and, without `multi_line`, on
+    rows that go on in the next line; turning it off lets the parser skip unused
+    columns and saves a pass over the file. All files must share one header,
+    which Spark verifies per file.
     """
+    if check_rows and not multi_line:
+        _fail_on_open_quotes(spark, path)
     options = {"quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8"}
     first = spark.read.options(header=False, **options).csv(path).first()
     if first is None:
@@ -107,7 +110,8 @@ def read_export(
     fields = [T.StructField(n, T.StringType()) for n in names]
     if check_rows:
         fields.append(T.StructField(_CORRUPT, T.StringType()))
-        options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        # A parser that skips columns does not see surplus cells.
+        options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "columnPruning": False}
     raw = spark.read.options(header=True, enforceSchema=not as_written, **options).schema(
         T.StructType(fields)
     ).csv(path)
@@ -117,14 +121,27 @@ def read_export(
 
 
 def _fail_on_extra_cells(raw: DataFrame, names: list[str], path: str) -> DataFrame:
-    """Short rows are filled with nulls; rows with additional cells stop the read."""
+    """Short rows are filled with nulls; rows with additional cells stop the read.
+
+    The test is a filter, so it runs whatever columns are read afterwards.
+    """
     cells = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
     again = F.from_csv(F.col(_CORRUPT), cells, {"quote": '"', "escape": '"'})
     extra = F.col(_CORRUPT).isNotNull() & again[f"c{len(names)}"].isNotNull()
-    message = F.concat(F.lit(f"row with more cells than the header in {path}: "), F.col(_CORRUPT))
-    first = _quoted(names[0])
-    checked = F.when(extra, F.raise_error(message).cast("string")).otherwise(first)
-    return raw.select(checked.alias(names[0]), *[_quoted(n) for n in names[1:]])
+    # Spark refuses to read the raw row alone, so the message also names the first cell.
+    first = F.coalesce(_quoted(names[0]), F.lit(""))
+    message = F.concat(F.lit(f"row with more cells than the header in {path}, at '"), first, F.lit("': "), F.col(_CORRUPT))
+    checked = F.when(extra, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return raw.where(checked).select(*[_quoted(n) for n in names])
+
+
+def _fail_on_open_quotes(spark: SparkSession, path: str) -> None:
+    """Read line by line, a row with a line break inside quotes would become two broken ones."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    broken = spark.read.text(path).where(quotes % 2 == 1).first()
+    if broken is not None:
+        raise ValueError(f"line break inside quotes in {path}, read it with multi_line=True: {broken.value[:200]}")
 
 
 def empty_table(spark: SparkSession, object_type: str) -> DataFrame:

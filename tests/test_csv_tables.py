@@ -109,3 +109,21 @@ def test_unknown_table(spark):
     assert tables.frame(DEALS).count() == 0
     with pytest.raises(ValueError, match="unknown object type"):
         tables.frame("tickets")
+
+
+def test_surplus_cells_stop_every_kind_of_read(spark, tmp_path):
+    for multi_line in (True, False):
+        unknown_first = write(tmp_path, "u.csv", "Notes,Record ID,Email\nx,1,a@b.co\ny,2,c@d.co,surplus\n")
+        known = write(tmp_path, "k.csv", "Record ID,Email\n1,a@b.co\n2,c@d.co,surplus\n")
+        for path in (unknown_first, known):
+            df = read_export(spark, path, CONTACTS, multi_line=multi_line)
+            for action in (df.count, df.select("email").collect, df.collect):
+                with pytest.raises(Exception, match="more cells than the header"):
+                    action()
+
+
+def test_line_breaks_in_quotes_need_multi_line(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'Record ID,Job Title\n1,"Head of\nEMEA"\n2,Clerk\n')
+    assert read_export(spark, path, CONTACTS).count() == 2
+    with pytest.raises(ValueError, match="line break inside quotes"):
+        read_export(spark, path, CONTACTS, multi_line=False)

@@ -149,3 +149,14 @@ def test_list_order_and_example(spark):
     assert [i.priority_check for i in items] == ["stale_deals", "missing_fields_contacts", "duplicate_contacts", "own_check"]
     assert items[1].issue == "Missing Fields Contacts" and items[3].issue == "Mine"
     assert (items[1].records, items[1].severity, items[1].example) == (3, "High", "missing_fields_contacts 8")
+
+
+def test_exposure_owner_does_not_depend_on_partitions(spark):
+    rows = [("stale_deals", "deals", "7", 3, 95, None, 1000.0), ("stale_deals", "deals", "7", 3, 96, None, 1000.0)]
+    rows += [("stale_deals", "deals", "", 3, 90 + i, None, 500.0) for i in range(40)]
+    made = findings(spark, rows)
+    owners = {
+        tuple(sorted((r.record_id, r.meta.days_inactive) for r in scoring.price_findings(made.repartition(n)).collect() if r.at_risk_usd))
+        for n in (1, 3, 7, 13)
+    }
+    assert len(owners) == 1 and len(owners.pop()) == 2
