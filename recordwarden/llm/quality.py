@@ -24,7 +24,7 @@ from .common import text_bytes
 
 #: Hashed features.
 DIMENSIONS = 1 << 18
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 #: Distinct tokens whose features a worker remembers.
 REMEMBERED = 200_000
 SHARES = ("distinct words", "distinct lines", "symbols", "capitals", "digits", "words ending in symbols", "capital words", "length")
@@ -111,7 +111,9 @@ def fit(
         return OrdinalModel(weights, np.full(levels - 1, -20.0))
     below = (np.bincount(grades, minlength=levels).cumsum()[:-1] + 0.5) / (len(rows) + 1)
     thresholds = np.log(below / (1 - below))
-    seen = np.bincount(np.concatenate(rows), minlength=DIMENSIONS)
+    seen = np.zeros(DIMENSIONS, dtype=np.int64)
+    for x in rows:
+        seen[x] += 1  # a row has a feature once
     kept = seen >= least_rows
     rows = [x[kept[x]] for x in rows]
     power, level_power = np.full(DIMENSIONS, 1e-3), np.full(levels - 1, 1e-3)
@@ -160,14 +162,14 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample_rows: int
         features = Features()
         for batch in batches:
             found = [features.of(t.decode()).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["grade", "slots"])
-
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("grade", "text")
-    table = texts.mapInArrow(compute, "grade int, slots binary").toArrow()
-    rows = [np.frombuffer(x, dtype=np.int32) for x in table.column("slots").to_pylist()]
-    order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # the same order whatever the partitions
-    grades = table.column("grade").to_numpy().astype(np.int64)
-    return fit([rows[i] for i in order], grades[order], levels)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "grade", "slots"])
+
+    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
+    table = texts.mapInArrow(compute, "doc_id long, grade int, slots binary").toArrow()
+    # The same order whatever the partitions; rows are views of the table's own memory.
+    table = table.sort_by([("doc_id", "ascending"), ("slots", "ascending")]).combine_chunks()
+    rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in table.column("slots")]
+    return fit(rows, table.column("grade").to_numpy().astype(np.int64), levels)
 
 
 def score(docs: DataFrame, model: OrdinalModel, least: int = 2, least_tail: float = 0.5) -> DataFrame:
