@@ -119,7 +119,7 @@ def test_correction_tables(tables, report):
         if table.kind == "import":
             assert len(table.frame.columns) == 2 and table.frame.columns[0] == "Record ID"
     emails = {r["Record ID"]: r["Email"] for r in rows["import_contacts_email_normalized.csv"]}
-    # Duplicates wait for their merge; padding is repaired like case.
+    # Duplicates wait for their merge; padding alone is not a change.
     assert emails == {"150": "mixed.case@firm.com", "133": "kim@firm.cmo"}
     assert rows["import_contacts_country_standardized.csv"] == [{"Record ID": "152", "Country/Region": "Canada"}]
     assert rows["import_companies_country_standardized.csv"] == [{"Record ID": "23", "Country/Region": "United States"}]
