@@ -30,8 +30,8 @@ LEAF_SAMPLE = 48
 #: Candidates of a query: this many times the vectors, summed over all trees, and so many at least.
 SEARCH_SHARE = 1.6
 LEAST_CANDIDATES = 4096
-#: Vectors and queries that one task compares at a time.
-CELL_ROWS, CELL_QUERIES = 8192, 4096
+#: Vectors (by their size as doubles) and queries that one task compares at a time.
+CELL_BYTES, CELL_QUERIES = 16 << 20, 4096
 
 
 @dataclass
@@ -231,17 +231,18 @@ def nearest(
     for r in index.groupBy("tree", "leaf").count().collect():  # one row per leaf of the fitted forest
         sizes[r.tree][r.leaf] = r["count"]
     # Neighbouring leaves of a tree share a shard; a shard's rows are split into cells of bounded size.
+    cell_rows = max(1024, CELL_BYTES // (8 * x.shape[1]))
     shard_of, shard_rows = [], []
     for counts in sizes:
         own = np.zeros(len(counts), dtype=np.int32)
         for leaf, n in enumerate(counts.tolist()):
-            if leaf == 0 or shard_rows[-1] and shard_rows[-1] + n > CELL_ROWS:
+            if leaf == 0 or shard_rows[-1] and shard_rows[-1] + n > cell_rows:
                 shard_rows.append(0)
             own[leaf] = len(shard_rows) - 1
             shard_rows[-1] += n
         shard_of.append(own)
     flat = spark.createDataFrame(
-        [(k, leaf, int(s), -(-shard_rows[s] // CELL_ROWS)) for k, own in enumerate(shard_of) for leaf, s in enumerate(own)],
+        [(k, leaf, int(s), -(-shard_rows[s] // cell_rows)) for k, own in enumerate(shard_of) for leaf, s in enumerate(own)],
         "tree int, leaf int, shard int, parts int",
     )
     rows = index.join(F.broadcast(flat), ["tree", "leaf"])  # as bounded as the forest
