@@ -49,11 +49,11 @@ def headline_columns(score: DataFrame, cost: DataFrame, severities: DataFrame) -
     total = F.col("high_findings") + F.col("medium_findings") + F.col("low_findings")
     summary = summary.withColumn("findings_total", total)
     sentence = F.format_string(
-        "CRM Health Score %s/100 (grade %s): %s issues on %s of %s records, about %s hours ($%s) "
-        "of avoidable work and $%s of open deals at risk.",
-        F.format_number("score", 0), "grade",
-        F.format_number("findings_total", 0), F.format_number("affected_records", 0),
-        F.format_number("total_records", 0), F.format_number("remediation_hours", 0),
+        "Grade %s with %s points: %s of %s records need work (%s findings). Repair takes %s hours, "
+        "or $%s; neglected deals expose $%s.",
+        "grade", F.format_number("score", 0),
+        F.format_number("affected_records", 0), F.format_number("total_records", 0),
+        F.format_number("findings_total", 0), F.format_number("remediation_hours", 0),
         F.format_number("direct_cost_usd", 0), F.format_number("at_risk_pipeline_usd", 0),
     )
     return summary.withColumn("headline", sentence)

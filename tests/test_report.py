@@ -97,7 +97,7 @@ def test_summary_is_json(report, tmp_path):
     assert summary["as_of"] == AS_OF.isoformat()
     assert summary["assumptions"]["forecast_risk_bands"][0] == [90.0, 0.75]
     assert summary["findings_total"] == 20
-    assert re.match(r"CRM Health Score \d+/100 \(grade [A-F]\): 20 issues on 19 of 83 records", summary["headline"])
+    assert re.match(r"Grade [A-F] with \d+ points: 19 of 83 records need work \(20 findings\)", summary["headline"])
 
 
 def test_findings_as_csv(report, tmp_path):
