@@ -461,8 +461,8 @@ def all_sql() -> dict[str, str]:
         "punch_list": _ranked("SELECT * FROM items"),
         "start_here": _ranked("SELECT * FROM items ORDER BY at_risk_usd + cost_usd DESC, score_gain DESC, records DESC LIMIT 1"),
         "report_headline": _sql(
-            """SELECT *, format('CRM Health Score {:.0f}/100 (grade {}): {:,} issues on {:,} of {:,} records, about {:,.0f} hours (${:,.0f}) of avoidable work and ${:,.0f} of open deals at risk.',
-                score, grade, findings_total, affected_records, total_records, remediation_hours, direct_cost_usd, at_risk_pipeline_usd) AS headline
+            """SELECT *, format('Grade {} with {:.0f} points: {:,} of {:,} records need work ({:,} findings). Repair takes {:,.0f} hours, or ${:,.0f}; neglected deals expose ${:,.0f}.',
+                grade, score, affected_records, total_records, findings_total, remediation_hours, direct_cost_usd, at_risk_pipeline_usd) AS headline
             FROM (SELECT * EXCLUDE (object_type) FROM scores WHERE object_type = 'overall'), cost,
               (SELECT count(*) FILTER (WHERE sev = 3) AS high_findings, count(*) FILTER (WHERE sev = 2) AS medium_findings,
                 count(*) FILTER (WHERE sev = 1) AS low_findings, count(*) AS findings_total FROM labeled)""",
@@ -510,6 +510,14 @@ def all_sql() -> dict[str, str]:
                    f"SELECT DISTINCT record_id FROM labeled WHERE check_id = 'missing_fields_{t}'")
                   for t in ("contacts", "companies", "deals")],
             ))),
+        "loaded_findings": _found(_FLAT.format(cost="0.0::DOUBLE", risk="0.0::DOUBLE") + " FROM labeled"),
+        "contacts_only_findings": _found(
+            _FLAT.format(cost="0.0::DOUBLE", risk="0.0::DOUBLE") + " FROM labeled WHERE object_type = 'contacts'"),
+        "exposure_of_repeated_ids": _money(f"""
+            SELECT CASE WHEN CAST(record_id AS BIGINT) % 3 = 0 THEN '' ELSE CAST(CAST(record_id AS BIGINT) % 100 AS VARCHAR) END AS record_id,
+              count(*) AS findings, count(*) FILTER (WHERE amount IS NOT NULL AND factor > 0) > 0 AS is_exposed,
+              coalesce(max(CASE WHEN amount IS NOT NULL AND factor > 0 THEN {_round("amount * factor", 2)} END), 0.0::DOUBLE) AS at_risk_usd
+            FROM exposure GROUP BY 1"""),
         "deal_name_lookup": _found("""SELECT l.record_id, l.field, d.deal_name FROM labeled l LEFT JOIN deals d USING (record_id)
             WHERE check_id = 'missing_fields_deals'"""),
     }

@@ -26,8 +26,8 @@ from ..operators.row_checks import (
 from ..plans.audit import CHECK_NAMES, run_checks
 from ..plans.correction_bundle import candidate_tables, row_counts
 from ..plans.report import headline_columns
-from ..sources.csv_tables import latest_activity, read_export
-from ..sources.staging import staging_path
+from ..sources.csv_tables import latest_activity, load_crm, read_export
+from ..sources.staging import staged, staging_path
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +56,13 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[CrmTables, DataFrame, DataFrame]:
-    """Tables, priced findings, and the score totals with every check's share."""
+    """Tables, priced findings, and the score totals with every check's share.
+
+    Both are read from one staged table, so that every check runs once.
+    """
     tables = b.crm(spark, sf_dir)
-    findings = run_checks(tables, b.policy())
-    totals = scoring.score_totals(findings, tables.counts(), list(CHECK_NAMES))
-    return tables, scoring.price_findings(findings), totals
+    priced = staged(scoring.price_findings(run_checks(tables, b.policy())), "findings")
+    return tables, priced, scoring.score_totals(priced, tables.counts(), list(CHECK_NAMES))
 
 
 # --- sources -----------------------------------------------------------------
@@ -68,11 +70,45 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[CrmTables, DataFrame, Dat
 @register
 def csv_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts written as a CSV export and loaded again."""
-    path = staging_path(spark, "contacts_export")
-    b.contact_export(spark, sf_dir).write.option("header", True).option("escape", '"').option(
+    return read_export(spark, _exported(b.contact_export(spark, sf_dir), CONTACTS), CONTACTS, multi_line=False)
+
+
+def _exported(table: DataFrame, name: str) -> str:
+    """Where the table now lies as CSV."""
+    path = staging_path(table.sparkSession, f"{name}_export")
+    table.write.option("header", True).option("escape", '"').option(
         "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
     ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return read_export(spark, path, CONTACTS, multi_line=False)
+    return path
+
+
+def _spelled(table: DataFrame) -> DataFrame:
+    """Ids as decimals and every date in one of five spellings, by row."""
+    spellings = ["yyyy-MM-dd", "MM/dd/yyyy hh:mm a", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy/MM/dd"]
+    turn = F.pmod(F.col("`Record ID`").cast("int"), F.lit(len(spellings)))
+    dates = [n for n in table.columns if n.endswith("Date")]
+    return table.withColumns({
+        "Record ID": F.concat("Record ID", F.lit(".0")),
+        **{n: F.element_at(F.array(*[F.date_format(n, s) for s in spellings]), turn + 1) for n in dates},
+    })
+
+
+@register
+def loaded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three tables as CSV text in mixed spellings, loaded, audited and sorted."""
+    paths = {
+        CONTACTS: _exported(_spelled(b.contact_export(spark, sf_dir)), CONTACTS),
+        COMPANIES: _exported(_spelled(b.company_export(spark, sf_dir)), COMPANIES),
+        DEALS: _exported(_spelled(b.deal_export(spark, sf_dir)), DEALS),
+    }
+    return flatten(run_checks(load_crm(spark, **paths, multi_line=False), b.policy()).orderBy(*report_order()))
+
+
+@register
+def contacts_only_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit without companies and deals."""
+    path = _exported(b.contact_export(spark, sf_dir), CONTACTS)
+    return flatten(run_checks(load_crm(spark, contacts=path, multi_line=False), b.policy()))
 
 
 @register
@@ -411,6 +447,20 @@ def deal_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.cost_summary(scoring.price_findings(findings), tables.deals)
 
 
+@register
+def exposure_of_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure per record id when a third of the ids is blank and the others repeat."""
+    tables = b.crm(spark, sf_dir)
+    number = F.col("record_id").cast("long")
+    deals = tables.deals.withColumn("record_id", F.when(number % 3 == 0, "").otherwise((number % 100).cast("string")))
+    renamed = CrmTables(tables.contacts, tables.companies, deals, tables.as_of)
+    priced = scoring.price_findings(run_checks(renamed, b.policy(), ["stale_deals", "past_close_date"]))
+    return priced.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("findings"), (F.count_if(F.col("at_risk_usd") > 0) == 1).alias("is_exposed"),
+        F.sum("at_risk_usd").alias("at_risk_usd"),
+    )
+
+
 @register
 def open_deal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.open_deal_value(b.deals(spark, sf_dir)).select(
@@ -443,7 +493,9 @@ def severity_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def score_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_gains(_scored(spark, sf_dir)[2])
+    tables = b.crm(spark, sf_dir)
+    findings = run_checks(tables, b.policy())
+    return scoring.score_gains(scoring.score_totals(findings, tables.counts(), list(CHECK_NAMES)))
 
 
 @register

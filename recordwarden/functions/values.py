@@ -11,13 +11,50 @@ from .text import strip
 
 # The date and number spellings that are accepted.
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+NAMED_DATE = (
+    r"^(?i)(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+    r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.? (\d{1,2}),? (\d{4})"
+)
+HALF_DAY = r"[ T](0?[1-9]|1[0-2])(:\d{2}(?::\d{2})?) ?([AaPp])[Mm]$"
+OFFSET = r"(\d:\d{2}\S*?) ?(?:[Zz]|([+-])(\d{2}):?(\d{2}))$"
 NUMBER_PATTERN = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 def parse_date(c: Column) -> Column:
-    """ISO or US-style text to a timestamp without zone; anything else to null."""
+    """ISO or US-style text to a timestamp without zone; anything else to null.
+
+    Month names, AM and PM, and offsets are understood; with an offset the time is that of UTC.
+    """
     iso = F.regexp_replace(strip(c), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
     iso = F.regexp_replace(iso, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    return F.when(iso.rlike(DATE_PATTERN), iso).try_cast("timestamp_ntz")
+    # Rows in the plain spelling pay for the plain spelling only.
+    return F.when(iso.rlike(DATE_PATTERN), iso.try_cast("timestamp_ntz")).otherwise(_parse_spelled_date(iso))
+
+
+def _parse_spelled_date(c: Column) -> Column:
+    """The rarer spellings. Each step is a lambda over its input, so that generated code stays small."""
+    step = lambda value, rule: F.get(F.transform(F.array(value), rule), F.lit(0))
+    return step(step(step(c, _unnamed_month), _full_day), _without_offset)
+
+
+def _unnamed_month(c: Column) -> Column:
+    month = F.floor((F.instr(F.lit(MONTHS), F.lower(F.substring(c, 1, 3))) + 2) / 3)
+    between = F.concat(F.lit("-"), month.cast("string"), F.lit("-"))
+    return F.when(c.rlike(NAMED_DATE), F.replace(F.regexp_replace(c, NAMED_DATE, "$3--$2"), F.lit("--"), between)).otherwise(c)
+
+
+def _full_day(c: Column) -> Column:
+    hour = F.regexp_extract(c, HALF_DAY, 1).try_cast("int") % 12
+    hour = hour + F.when(F.lower(F.regexp_extract(c, HALF_DAY, 3)) == "p", 12).otherwise(0)
+    clock = F.concat(F.regexp_replace(c, HALF_DAY, " "), F.lpad(hour.cast("string"), 2, "0"), F.regexp_extract(c, HALF_DAY, 2))
+    return F.when(c.rlike(HALF_DAY), clock).otherwise(c)
+
+
+def _without_offset(c: Column) -> Column:
+    local = F.regexp_replace(c, OFFSET, "$1")
+    ahead = F.regexp_extract(c, OFFSET, 3).try_cast("int") * 60 + F.regexp_extract(c, OFFSET, 4).try_cast("int")
+    minutes = F.coalesce(F.when(F.regexp_extract(c, OFFSET, 2) == "-", -ahead).otherwise(ahead), F.lit(0))
+    return F.when(local.rlike(DATE_PATTERN), local).try_cast("timestamp_ntz") - F.make_dt_interval(mins=minutes)
 
 
 def parse_number(c: Column) -> Column:

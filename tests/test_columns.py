@@ -139,6 +139,17 @@ def test_dates(spark):
     ], values.parse_date)
 
 
+def test_dates_in_rarer_spellings(spark):
+    day = dt.datetime(2026, 7, 1)
+    check(spark, [
+        ("2026-07-01T10:00:00Z", day.replace(hour=10)), ("2026-07-01 10:00:00+00:00", day.replace(hour=10)),
+        ("2026-07-01 10:00:00.5-0230", day.replace(hour=12, minute=30, microsecond=500000)), ("2026-07-01T01:00+02:00", dt.datetime(2026, 6, 30, 23)),
+        ("Jul 1, 2026", day), ("july 1 2026", day), ("Sept. 9, 2026", dt.datetime(2026, 9, 9)), ("Julian 1, 2026", None), ("Feb 30, 2026", None),
+        ("07/01/2026 3:15 PM", day.replace(hour=15, minute=15)), ("2026-07-01 12:00:05 am", day.replace(second=5)),
+        ("Jul 1, 2026 12:30 pm", day.replace(hour=12, minute=30)), ("07/01/2026 13:15 PM", None), ("2026-07-01Z", None),
+    ], values.parse_date)
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_days_are_elapsed_whole_days(spark, zone):
     as_of = dt.datetime(2026, 7, 30, 1)
