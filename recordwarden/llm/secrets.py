@@ -7,7 +7,7 @@ token whose log-likelihood ratio per character is above a threshold is a span of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import log
 
@@ -37,20 +37,20 @@ class MarkovRatio:
     threshold: float
 
 
-def _matches(pattern: str, kind: str, least: int, group: int, text: str = "text") -> Column:
-    """Spans (start, end, kind) of every match whose group has `least` characters, in code points.
+def _matches(pattern: str, kind: str, group: int, wanted: Callable[[Column], Column]) -> Column:
+    """Spans (start, kind, end) of the matches in `text` whose group is wanted, in code points.
 
     The text between the matches is what a split leaves, so a match starts where all earlier pieces
-    and matches end.
+    and matches end. Only wanted matches are put together; the others just move the place on.
     """
-    source = F.col(text)
+    source = F.col("text")
     whole = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(source, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.split(source, pattern, -1)
     lengths = F.transform(
         F.arrays_zip(whole.alias("m"), held.alias("g"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap")),
         lambda x: F.struct(
-            F.char_length(x["gap"]).alias("gap"), F.char_length(x["m"]).alias("m"), F.char_length(x["g"]).alias("g")
+            F.char_length(x["gap"]).alias("gap"), F.char_length(x["m"]).alias("m"), wanted(x["g"]).alias("wanted")
         ),
     )
     order = KINDS.index(kind)
@@ -61,7 +61,7 @@ def _matches(pattern: str, kind: str, least: int, group: int, text: str = "text"
         lambda done, x: F.struct(
             (done["at"] + x["gap"] + x["m"]).alias("at"),
             F.when(
-                x["g"] >= least,
+                x["wanted"],
                 F.concat(done["spans"], F.array(F.struct(
                     (done["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind"),
                     (done["at"] + x["gap"] + x["m"]).alias("stop"),
@@ -73,13 +73,17 @@ def _matches(pattern: str, kind: str, least: int, group: int, text: str = "text"
     return F.when(F.rlike(source, F.lit(pattern)), walked["spans"]).otherwise(empty)
 
 
+def _of_length(least: int) -> Callable[[Column], Column]:
+    return lambda held: F.char_length(held) >= least
+
+
 def base_spans() -> Column:
     """Spans of the three base patterns in the column `text`, by start and then kind."""
     return F.array_sort(F.concat(
-        _matches(ASSIGN, "assign", LEAST_ASSIGN, 2),
+        _matches(ASSIGN, "assign", 2, _of_length(LEAST_ASSIGN)),
         # A greedy run is found whole or not at all, so its least length can be part of the pattern.
-        _matches(rf"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}", "access", LEAST_ACCESS, 0),
-        _matches(rf"[0-9a-f]{{{LEAST_HEX},}}", "hex", LEAST_HEX, 0),
+        _matches(rf"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}", "access", 0, _of_length(LEAST_ACCESS)),
+        _matches(rf"[0-9a-f]{{{LEAST_HEX},}}", "hex", 0, _of_length(LEAST_HEX)),
     ))
 
 
@@ -144,33 +148,38 @@ def train(samples: DataFrame, threshold: float = 0.9, smoothing: float = 0.5) ->
 
 
 def _mean_ratio(token: Column, model: MarkovRatio) -> Column:
-    """Mean log-likelihood ratio of the transitions of a token of two or more characters."""
+    """Mean log-likelihood ratio of the transitions of a token of two or more characters.
+
+    The token is split into its characters once, so a token of any length is read in one pass.
+    """
     table = F.lit(list(model.ratios))
     total = F.aggregate(
-        F.sequence(F.lit(2), F.char_length(token)),
-        F.struct(_state(F.substring(token, 1, F.lit(1))).alias("a"), F.lit(0.0).alias("sum")),
-        lambda done, i: F.struct(
-            _state(F.substring(token, i, F.lit(1))).alias("a"),
-            (done["sum"] + F.get(table, done["a"] * STATES + _state(F.substring(token, i, F.lit(1))))).alias("sum"),
+        F.split(token, ""),
+        F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("sum")),
+        lambda done, character: F.struct(
+            _state(character).alias("a"),
+            (done["sum"] + F.when(done["a"] < 0, 0.0).otherwise(F.get(table, done["a"] * STATES + _state(character)))).alias("sum"),
         ),
     )
     return total["sum"] / (F.char_length(token) - 1)
 
 
+def _looks_random(model: MarkovRatio) -> Callable[[Column], Column]:
+    """A token without a letter is a number, not an identifier."""
+    return lambda token: token.rlike("[A-Za-z]") & (_mean_ratio(token, model) > model.threshold)
+
+
 def scan(docs: DataFrame, model: MarkovRatio, kept: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns `kept`, text and spans for every row of `docs`; spans are structs (start, kind, stop) in order.
 
     Positions count code points, `stop` is exclusive, kind indexes KINDS. A null text counts as
-    empty. A token that overlaps a base span is left to it, and one without a letter is a number, not
-    an identifier. Nothing is shuffled.
+    empty. A token that overlaps a base span is left to it. Nothing is shuffled.
     """
     others = [c for c in kept if c not in ("text", "spans")]
     rows = docs.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_base", base_spans()).withColumn("_tokens", _matches(TOKEN, "markov", 0, 0))
-    free = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"])))
-    token = lambda t: F.substring(F.col("text"), t["start"] + 1, t["stop"] - t["start"])
-    random = F.filter(free, lambda t: token(t).rlike("[A-Za-z]") & (_mean_ratio(token(t), model) > model.threshold))
-    return rows.select(*others, "text", F.array_sort(F.concat("_base", random)).alias("spans"))
+    rows = rows.withColumn("_base", base_spans()).withColumn("_random", _matches(TOKEN, "markov", 0, _looks_random(model)))
+    free = F.filter("_random", lambda t: ~F.exists("_base", lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"])))
+    return rows.select(*others, "text", F.array_sort(F.concat("_base", free)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

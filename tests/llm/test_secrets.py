@@ -90,3 +90,12 @@ def test_added_spans_and_masking(spark, model):
 def test_only_dataframe_functions(spark, model):
     plan = secrets.scan(odd_documents(spark), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
+
+
+def test_very_long_tokens_and_many_of_them(spark, model):
+    draw = np.random.default_rng(6)
+    blob = "".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 400_000))
+    names = " ".join(f"the_other_identifier_{'abcdefghij'[k % 10]}" for k in range(20_000))
+    rows = spark.createDataFrame([(1, blob), (2, names), (3, f"{names} {blob[:40]}")], "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(rows, model).select("doc_id", "spans").collect()}
+    assert found == {1: [(0, 3, 400_000)], 2: [], 3: [(len(names) + 1, 3, len(names) + 41)]}
