@@ -204,9 +204,10 @@ def linked_fingerprints(
     """Edges (a, b) between ids of fingerprints; their components are those of all links.
 
     `distinct` has fp (unique) and id. Buckets of up to `crowd` fingerprints are compared pair by
-    pair. Fingerprints of larger buckets are instead joined through centres: for an even distance,
-    any two linked ones share a string that differs from each in half of it or less, and all that
-    share one are linked. For two bits that is 65 rows per fingerprint however full its bucket is.
+    pair. Fingerprints of larger buckets are instead joined through centres: for any two linked ones
+    there is a string that differs from one in half the distance (rounded down) or less and from the
+    other in the rest, and whatever lies that near to it is linked to each of the nearer ones. For
+    two bits that is 65 rows per fingerprint however full its bucket is.
     """
     probes = distinct.select(F.posexplode(_longs([_signed(m) for m in probe_masks(partitions)])).alias("probe", "mask"), "fp", "id")
     probes = probes.select("probe", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp", "id")
@@ -220,18 +221,14 @@ def linked_fingerprints(
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
     )
     big = members.where(F.col("n") > crowd)
-    if max_distance % 2:  # no centre proves an odd distance: compare these buckets pair by pair too
-        other = big.select("probe", "value", F.col("fp").alias("fp2"), F.col("id").alias("id2"))
-        return pairs.union(
-            big.join(other, ["probe", "value"]).where((F.col("fp") < F.col("fp2")) & near("fp", "fp2"))
-            .select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        )
-    flips = [_signed(_mask(c)) for k in range(max_distance // 2 + 1) for c in combinations(range(BITS), k)]
-    centres = big.select("fp", "id").distinct().select(F.explode(_longs(flips)).alias("flip"), "fp", "id").select(
-        F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"), "id"
+    inner = max_distance // 2
+    flips = [_mask(c) for k in range(max_distance - inner + 1) for c in combinations(range(BITS), k)]
+    centres = big.select("fp", "id").distinct().select(F.explode(_longs([_signed(f) for f in flips])).alias("flip"), "fp", "id").select(
+        F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"), "id", (F.bit_count("flip") <= inner).alias("inner")
     )
-    least = centres.groupBy("centre").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return pairs.union(centres.join(least, "centre").where("id <> b").select(F.col("id").alias("a"), "b"))
+    hubs = centres.groupBy("centre").agg(F.min(F.when(F.col("inner"), F.col("id"))).alias("b"), F.count("*").alias("n"))
+    hubs = hubs.where("n > 1 AND b IS NOT NULL").select("centre", "b")
+    return pairs.union(centres.join(hubs, "centre").where("id <> b").select(F.col("id").alias("a"), "b"))
 
 
 def simhash_groups(
