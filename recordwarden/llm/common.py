@@ -29,6 +29,11 @@ def order_bucket(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int")
 
 
+def section_bits(rows: int, section_rows: int = 1 << 20) -> int:
+    """Leading bits for `order_bucket` with which a key of all `rows` has sections of about `section_rows`."""
+    return max(8, (max(rows, 1) // section_rows).bit_length())
+
+
 def with_running_total(
     df: DataFrame, keys: list[str], bucket: str, order: list[str], amount: Column, name: str
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from math import floor, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_bucket, staged, with_running_total
+from .common import order_bucket, section_bits, staged, with_running_total
 
 #: Exponents tried in one pass over the source totals: four bisections at once.
 TRIED = 15
@@ -115,7 +115,7 @@ class Mixture:
     sources: DataFrame
 
 
-def plan_mixture(rows: DataFrame, target: Target, seed: int = 3, bits: int = 8) -> Mixture:
+def plan_mixture(rows: DataFrame, target: Target, seed: int = 3) -> Mixture:
     """The weights and what they take of every source; `rows` is a written table of `measured_rows`."""
     totals = source_totals(rows)
     if totals.isEmpty():
@@ -132,6 +132,7 @@ def plan_mixture(rows: DataFrame, target: Target, seed: int = 3, bits: int = 8)
         F.floor(epochs).cast("int").alias("whole"), ((epochs - F.floor(epochs)) * F.col("tokens")).alias("rest"),
     )
     same = F.col("source").eqNullSafe(F.col("of"))
+    bits = section_bits(rows.count())
     partly = rows.join(quotas.where("rest > 0"), same).withColumn("draw", draw_of(F.col("whole"), seed))
     partly = with_running_total(
         partly.withColumn("section", order_bucket(F.col("draw"), bits)), ["source"], "section", ["draw"], F.col("tokens"), "before"
@@ -153,7 +154,7 @@ def _with_source(rows: DataFrame, mixture: Mixture) -> DataFrame:
     return rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
-def mixed_stream(docs: DataFrame, target: Target, block_tokens: int = 1 << 20, seed: int = 3, bits: int = 8) -> DataFrame:
+def mixed_stream(docs: DataFrame, target: Target, block_tokens: int = 1 << 20, seed: int = 3) -> DataFrame:
     """(doc_id, source, epoch, block, slot, tokens): the mixed stream, one row per use of a document.
 
     Block by block and slot by slot it is the order to read in; a block holds about `block_tokens`
@@ -161,10 +162,10 @@ def mixed_stream(docs: DataFrame, target: Target, block_tokens: int = 1 << 20, s
     an empty table gives an empty stream.
     """
     rows = staged(measured_rows(docs), "mixing_rows")
-    mixture = plan_mixture(rows, target, seed, bits)
+    mixture = plan_mixture(rows, target, seed)
     used = _with_source(rows, mixture).withColumn("uses", epochs_of(seed)).where("uses > 0")
     uses = used.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
-    uses = uses.withColumn("draw", draw_of(F.col("epoch"), seed)).withColumn("section", order_bucket(F.col("draw"), bits))
+    uses = uses.withColumn("draw", draw_of(F.col("epoch"), seed)).withColumn("section", order_bucket(F.col("draw"), section_bits(rows.count())))
     placed = with_running_total(staged(uses, "mixing_uses"), ["source", "epoch"], "section", ["draw"], F.col("tokens"), "before")
     budget = mixture.sources.agg(F.sum("quota")).first()[0] or 1.0
     blocks = max(1, -(-floor(budget) // block_tokens))
@@ -179,10 +180,10 @@ def mixed_stream(docs: DataFrame, target: Target, block_tokens: int = 1 << 20, s
     )
 
 
-def mixed_documents(docs: DataFrame, target: Target, seed: int = 3, bits: int = 8) -> DataFrame:
+def mixed_documents(docs: DataFrame, target: Target, seed: int = 3) -> DataFrame:
     """`docs` with every row as often as the mixture uses it. Only the sources' quotas are joined on."""
     rows = staged(measured_rows(docs), "mixing_rows")
-    mixture = plan_mixture(rows, target, seed, bits)
+    mixture = plan_mixture(rows, target, seed)
     columns = docs.columns
     sources = mixture.sources.select([F.col(c).alias(f"_{c}") for c in ("source", "whole", "last")])
     marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))

@@ -10,14 +10,14 @@ their sequence and offset from it.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_bucket, staged, with_running_total
+from .common import order_bucket, section_bits, staged, with_running_total
 from .tokens import END_ID, worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -127,26 +127,29 @@ def _pack(counts: dict[int, int], capacity: int, slack: int) -> tuple[dict[int,
 
 def place_pieces(ranked: DataFrame, slots: dict[int, list[Slots]]) -> DataFrame:
     """Adds sequence_id and offset to pieces that are ranked from 0 within their length."""
-    firsts = {n: [s.first for s in held] for n, held in slots.items()}
+    tables = {n: np.array([(s.first, s.each, s.sequence, s.offset) for s in held], dtype=np.int64) for n, held in slots.items()}
 
     def compute(batches):
         for batch in batches:
-            sequence, offset = [], []
-            for n, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist()):
-                held = slots[n][bisect_right(firsts[n], rank) - 1]
-                turn, place = divmod(rank - held.first, held.each)
-                sequence.append(held.sequence + turn)
-                offset.append(held.offset + place * n)
+            lengths = batch.column("length").to_numpy()
+            ranks = batch.column("rank").to_numpy()
+            sequence, offset = np.empty(len(ranks), dtype=np.int64), np.empty(len(ranks), dtype=np.int64)
+            order = np.argsort(lengths, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
+                length, rank = int(lengths[own[0]]), ranks[own]
+                first, each, start, place = tables[length][np.searchsorted(tables[length][:, 0], rank, "right") - 1].T
+                turn, within = np.divmod(rank - first, each)
+                sequence[own], offset[own] = start + turn, place + within * length
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
+                [*kept, pa.array(sequence), pa.array(offset)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
     return ranked.mapInArrow(compute, PIECES + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, bits: int = 8) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024) -> DataFrame:
     """One row per piece of every row of `docs`, with its place in the packed sequences.
 
     Null and empty texts are the end id alone. Rows that share a doc_id, repeats included, are
@@ -155,6 +158,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, bits: int = 8)
     pieces = staged(token_pieces(docs, vocabulary, capacity), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     slots, _ = pack_lengths(counts, capacity)
+    bits = section_bits(max(counts.values(), default=0))
     hashed = F.xxhash64("doc_id", "piece", "ids_crc32")
     ranked = with_running_total(
         pieces.withColumns({"section": order_bucket(hashed, bits), "place": hashed}),
