@@ -351,6 +351,22 @@ _DEAL_FIX = """SELECT record_id AS "Record ID", deal_name AS "Deal Name",
   CASE check_id WHEN 'stale_deals' THEN 'Stale' ELSE 'Past close date' END AS "Issue",
   CAST(coalesce(days_inactive, days_overdue) AS INTEGER) AS "Days", amount AS "Amount", at_risk_usd AS "At Risk (USD)",
   '' AS "Decision (chase / re-date / close)" FROM priced WHERE check_id IN ('stale_deals', 'past_close_date')"""
+_FIX_TABLES = (
+    ("worklist_pipeline_review.csv", _DEAL_FIX),
+    ("worklist_merge_duplicates.csv", "SELECT 1 FROM labeled WHERE check_id LIKE 'duplicate_%'"),
+    ("worklist_reassign_owners.csv", "SELECT 1 FROM labeled WHERE check_id LIKE 'routing_%'"),
+    ("import_contacts_email_normalized.csv", _EMAIL_FIX.format("trim(email_raw)")),
+    ("import_contacts_country_standardized.csv", _COUNTRY_FIX.format("contacts", "trim(country_raw)")),
+    ("import_companies_country_standardized.csv", _COUNTRY_FIX.format("companies", "trim(country_raw)")),
+    ("review_email_typos.csv", _TYPO_FIX.format("email")),
+    *[(f"template_{t}_missing_fields.csv", f"SELECT DISTINCT record_id FROM labeled WHERE check_id = 'missing_fields_{t}'")
+      for t in ("contacts", "companies", "deals")],
+)
+_HEADLINE = """SELECT *, format('Grade {} with {:.0f} points: {:,} of {:,} records need work ({:,} findings). Repair takes {:,.0f} hours, or ${:,.0f}; neglected deals expose ${:,.0f}.',
+    grade, score, affected_records, total_records, findings_total, remediation_hours, direct_cost_usd, at_risk_pipeline_usd) AS headline
+  FROM (SELECT * EXCLUDE (object_type) FROM scores WHERE object_type = 'overall'), cost,
+    (SELECT count(*) FILTER (WHERE sev = 3) AS high_findings, count(*) FILTER (WHERE sev = 2) AS medium_findings,
+      count(*) FILTER (WHERE sev = 1) AS low_findings, count(*) AS findings_total FROM labeled)"""
 _OWNERS = """SELECT owner FROM contacts UNION SELECT owner FROM companies UNION SELECT owner FROM deals"""
 _BLANK = "SELECT '{0}' AS column_name, count(*) FILTER (WHERE {1} IS NULL OR trim({1}) = '') AS blanks FROM contact_export"
 _TEXT_KEY = r"md5(nullif(lower(trim(text, E' \t\n\r')), ''))"
@@ -460,13 +476,7 @@ def all_sql() -> dict[str, str]:
         "score_gains": _sql("SELECT * FROM gains", _TABLES, _DIMENSIONS, _FINDINGS, _SCORES, _GAINS),
         "punch_list": _ranked("SELECT * FROM items"),
         "start_here": _ranked("SELECT * FROM items ORDER BY at_risk_usd + cost_usd DESC, score_gain DESC, records DESC LIMIT 1"),
-        "report_headline": _sql(
-            """SELECT *, format('Grade {} with {:.0f} points: {:,} of {:,} records need work ({:,} findings). Repair takes {:,.0f} hours, or ${:,.0f}; neglected deals expose ${:,.0f}.',
-                grade, score, affected_records, total_records, findings_total, remediation_hours, direct_cost_usd, at_risk_pipeline_usd) AS headline
-            FROM (SELECT * EXCLUDE (object_type) FROM scores WHERE object_type = 'overall'), cost,
-              (SELECT count(*) FILTER (WHERE sev = 3) AS high_findings, count(*) FILTER (WHERE sev = 2) AS medium_findings,
-                count(*) FILTER (WHERE sev = 1) AS low_findings, count(*) AS findings_total FROM labeled)""",
-            _TABLES, _DIMENSIONS, _FINDINGS, _PRICED, _totals(), _SCORES),
+        "report_headline": _sql(_HEADLINE, _TABLES, _DIMENSIONS, _FINDINGS, _PRICED, _totals(), _SCORES),
         "owner_names": _sql(f"SELECT owner FROM ({_OWNERS}) WHERE owner IS NOT NULL", _TABLES),
         "routing_coverage": _sql(
             f"""SELECT count(*) AS owners_found, count(region) AS owners_assigned, count(*) - count(region) AS owners_unassigned,
@@ -498,18 +508,26 @@ def all_sql() -> dict[str, str]:
         "fix_deal_fields": _template("deals", {
             "amount": "Amount", "close_date": "Close Date", "owner": "Deal owner"}),
         "fix_table_sizes": _money(" UNION ALL ".join(
-            f"SELECT '{name}' AS filename, count(*) AS rows FROM ({body})" for name, body in (
-                ("worklist_pipeline_review.csv", _DEAL_FIX),
-                ("worklist_merge_duplicates.csv", "SELECT 1 FROM labeled WHERE check_id LIKE 'duplicate_%'"),
-                ("worklist_reassign_owners.csv", "SELECT 1 FROM labeled WHERE check_id LIKE 'routing_%'"),
-                ("import_contacts_email_normalized.csv", _EMAIL_FIX.format("trim(email_raw)")),
-                ("import_contacts_country_standardized.csv", _COUNTRY_FIX.format("contacts", "trim(country_raw)")),
-                ("import_companies_country_standardized.csv", _COUNTRY_FIX.format("companies", "trim(country_raw)")),
-                ("review_email_typos.csv", _TYPO_FIX.format("email")),
-                *[(f"template_{t}_missing_fields.csv",
-                   f"SELECT DISTINCT record_id FROM labeled WHERE check_id = 'missing_fields_{t}'")
-                  for t in ("contacts", "companies", "deals")],
-            ))),
+            f"SELECT '{name}' AS filename, count(*) AS rows FROM ({body})" for name, body in _FIX_TABLES)),
+        "correction_manifest": _money(f"""SELECT CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS position, filename,
+            CASE WHEN filename LIKE 'template%' THEN 'worklist' ELSE split_part(filename, '_', 1) END AS kind,
+            CASE WHEN filename LIKE '%companies%' THEN 'companies'
+              WHEN filename LIKE '%deals%' OR filename LIKE '%pipeline%' THEN 'deals' ELSE 'contacts' END AS object_type,
+            rows, rows AS rows_written
+            FROM ({" UNION ALL ".join(
+                f"SELECT {i} AS i, '{name}' AS filename, count(*) AS rows FROM ({body})"
+                for i, (name, body) in enumerate(_FIX_TABLES))}) WHERE rows > 0"""),
+        "findings_file": _money(_FLAT.format(cost="cost", risk="at_risk_usd") + " FROM priced"),
+        "report_summary": _sql(
+            f"""SELECT headline, score AS overall, grade, clean_records, affected_records, remediation_hours,
+              direct_cost_usd, at_risk_pipeline_usd, findings_total, high_findings, medium_findings, low_findings,
+              {", ".join(f"(SELECT score FROM scores WHERE object_type = '{o}') AS {o}_score, "
+                         f"(SELECT total_records FROM scores WHERE object_type = '{o}') AS {o}_records"
+                         for o in ("contacts", "companies", "deals"))},
+              11::BIGINT AS checks_run, (SELECT count(*) FROM items) AS items,
+              (SELECT priority_check FROM items ORDER BY at_risk_usd + cost_usd DESC LIMIT 1) AS first_item
+            FROM ({_HEADLINE})""",
+            _TABLES, _DIMENSIONS, _FINDINGS, _PRICED, _totals(), _SCORES, _GAINS, _ITEMS),
         "loaded_findings": _found(_FLAT.format(cost="0.0::DOUBLE", risk="0.0::DOUBLE") + " FROM labeled"),
         "contacts_only_findings": _found(
             _FLAT.format(cost="0.0::DOUBLE", risk="0.0::DOUBLE") + " FROM labeled WHERE object_type = 'contacts'"),

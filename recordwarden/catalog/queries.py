@@ -24,8 +24,8 @@ from ..operators.row_checks import (
     with_email_diagnosis,
 )
 from ..plans.audit import CHECK_NAMES, run_checks
-from ..plans.correction_bundle import candidate_tables, row_counts
-from ..plans.report import headline_columns
+from ..plans.correction_bundle import candidate_tables, row_counts, write_corrections
+from ..plans.report import build_report, headline_columns
 from ..sources.csv_tables import latest_activity, load_crm, read_export
 from ..sources.staging import staged, staging_path
 from . import bindings as b
@@ -518,6 +518,49 @@ def report_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report, written as nested JSON and read back."""
+    report = build_report(b.crm(spark, sf_dir), b.policy())
+    path = staging_path(spark, "summary")
+    report.write_summary(path)
+    return spark.read.schema(report.summary().schema).json(path).select(
+        "headline", "score.overall", "score.grade", "score.clean_records", "score.affected_records",
+        *[F.col(f"score.by_object.{o}").alias(f"{o}_score") for o in OBJECT_TYPES],
+        *[F.col(f"record_counts.{o}").alias(f"{o}_records") for o in OBJECT_TYPES],
+        "cost.remediation_hours", "cost.direct_cost_usd", "cost.at_risk_pipeline_usd", "findings_total",
+        *[F.col(f"findings_by_severity.{s}").alias(f"{s.lower()}_findings") for s in ("High", "Medium", "Low")],
+        F.col("checks_run").cast("long").alias("checks_run"),
+        F.size("punch_list").cast("long").alias("items"), F.col("punch_list")[0]["priority_check"].alias("first_item"),
+    )
+
+
+@register
+def findings_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every priced finding, written as ordered CSV and read back."""
+    report = build_report(b.crm(spark, sf_dir), b.policy())
+    path = staging_path(spark, "findings_file")
+    report.write_findings(path)
+    found = spark.read.schema(flatten(report.findings).schema).option("header", True).option("escape", '"').csv(path)
+    return found.fillna("", ["field", "related_record_ids"])
+
+
+@register
+def correction_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every correction table that has rows, written as CSV; the rows are counted in the files."""
+    tables = b.crm(spark, sf_dir)
+    priced = staged(scoring.price_findings(run_checks(tables, b.policy())), "findings")
+    path = staging_path(spark, "corrections")
+    listed = write_corrections(tables, priced, path).select("position", "filename", "kind", "object_type", "rows")
+    files = [r.filename for r in listed.select("filename").collect()]  # at most ten
+    written = union_all([
+        spark.read.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+        .agg(F.count(F.lit(1)).alias("rows_written")).select(F.lit(name).alias("filename"), "rows_written")
+        for name in files
+    ])
+    return listed.join(written, "filename")
+
+
 # --- owners and filters ------------------------------------------------------
 
 @register
