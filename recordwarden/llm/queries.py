@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_vectors, neighbours, packing, passages, planes, quality, secrets, shards, simhash
+from . import (
+    lexical, mixing, near_vectors, neighbours, packing, passages, planes, quality, secrets, shards, simhash,
+)
 
 #: The flattest mixture that uses every source whole and none more than twice.
 MIXTURE = mixing.Target(repetitions=2.0)
@@ -34,6 +36,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, grade) from the labels table."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", quality.grade_column().alias("grade"))
@@ -95,3 +101,8 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_file_index(documents(spark, sf_dir), vocabulary())
+
+
+@register
+def op11_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(documents(spark, sf_dir), benchmark(spark, sf_dir), k=50)

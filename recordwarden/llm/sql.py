@@ -2,7 +2,32 @@
 
 from __future__ import annotations
 
-_SQL: dict[str, str] = {}
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _terms(text: str) -> str:
+    """All runs of letters, digits and non-ASCII characters, A-Z in lower case."""
+    return f"regexp_extract_all(translate({text}, {_CAPITALS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_RANKED = f"""
+WITH found AS (SELECT doc_id, unnest({_terms("text")}) AS term FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM counted, totals GROUP BY term, n_docs),
+asked AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+WHERE place <= 50"""
+
+_SQL: dict[str, str] = {
+    "op11_stratified_search": _RANKED,
+}
 
 
 def all_sql() -> dict[str, str]:
