@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    lexical, mixing, near_vectors, neighbours, packing, passages, planes, quality, secrets, shards, simhash,
+    fm_index, lexical, mixing, near_vectors, neighbours, packing, passages, planes, quality, secrets, shards, simhash, whitening,
 )
 
 #: The flattest mixture that uses every source whole and none more than twice.
@@ -106,3 +106,13 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op11_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_documents(documents(spark, sf_dir), benchmark(spark, sf_dir), k=50)
+
+
+@register
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir), components=8)
+
+
+@register
+def op13_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.digest(fm_index.contaminated_spans(documents(spark, sf_dir), benchmark(spark, sf_dir), window=10))

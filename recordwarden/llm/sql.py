@@ -25,8 +25,27 @@ SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
 WHERE place <= 50"""
 
+_WINDOW = 10
+_CONTAMINATED = f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, {_terms("coalesce(text, '')")} AS words FROM documents),
+items AS (SELECT item_id, {_terms("coalesce(text, '')")} AS words FROM benchmark),
+starts AS (SELECT item_id, words, unnest(range(1, greatest(len(words) - {_WINDOW - 1}, 1) + 1)) AS i FROM items WHERE len(words) > 0),
+phrases AS (SELECT DISTINCT item_id, least(len(words), {_WINDOW}) AS size, array_to_string(words[i:i + {_WINDOW - 1}], ' ') AS phrase FROM starts),
+sizes AS (SELECT DISTINCT size FROM phrases),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+runs AS (SELECT doc_id, i, size, array_to_string(words[i:i + size - 1], ' ') AS phrase FROM places, sizes WHERE i + size - 1 <= len(words)),
+hits AS MATERIALIZED (SELECT doc_id, i, size, item_id FROM runs JOIN phrases USING (size, phrase)),
+hit_words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (
+  SELECT doc_id, unnest(range(i, i + size)) AS w FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
 _SQL: dict[str, str] = {
     "op11_stratified_search": _RANKED,
+    "op13_fm_decontamination": _CONTAMINATED,
 }
 
 
