@@ -29,8 +29,12 @@ from ..sources.staging import discard
 from .common import stage, text_bytes
 from .words import words_of
 
-#: A segment ends with the document that brings it to so many postings or documents.
-SEGMENT_POSTINGS, SEGMENT_DOCUMENTS = 1 << 20, 1 << 15
+#: A segment ends with the document that brings it to so many postings or documents; the latter fit 16 bits.
+SEGMENT_POSTINGS, SEGMENT_DOCUMENTS = 1 << 18, 1 << 15
+#: Strata are dealt to tasks in sections of about so many postings.
+SECTION_POSTINGS = 1 << 20
+#: Strata from this m on share one entry of the table of sections, which bounds that table.
+LAST_STRATUM = 1 << 16
 #: Queries are searched in blocks of about so many terms, which bounds what a task is sent.
 BLOCK_TERMS = 50_000
 #: Documents of the strata visited first; every further visit takes twice as many.
@@ -38,7 +42,7 @@ FIRST_VISIT = 1024
 
 SEGMENT = (
     "doc_ids array<long>, strata array<long>, stratum_docs binary, terms binary, dfs binary, "
-    "term_groups binary, group_stratum binary, group_tf binary, group_impact binary, group_docs binary, docs binary"
+    "term_groups binary, group_stratum binary, group_tf binary, group_docs binary, docs binary"
 )
 _LAST = np.iinfo(np.int64).max
 
@@ -49,13 +53,16 @@ def term_counts(rows: DataFrame, key: str) -> DataFrame:
 
     def compute(batches):
         for batch in batches:
-            held = [Counter(words_of(body)) for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([c.total() for c in held], pa.int64()),
-                pa.array([b" ".join(c) for c in held], pa.binary()),
-                pa.array([np.fromiter(c.values(), "<i4", len(c)).tobytes() for c in held], pa.binary()),
-            ], [key, "n", "terms", "tfs"])
+            totals, terms, tfs = [], [], []
+            for body in batch.column(1):
+                counts = Counter(words_of(body.as_py()))
+                totals.append(counts.total())
+                terms.append(b" ".join(counts))
+                tfs.append(np.fromiter(counts.values(), "<i4", len(counts)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(totals, pa.int64()), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())],
+                [key, "n", "terms", "tfs"],
+            )
 
     texts = rows.select(key, text_bytes().alias("text"))
     return texts.mapInArrow(compute, f"{key} {kind}, n long, terms binary, tfs binary").where("n > 0")
@@ -78,8 +85,8 @@ class LexicalIndex:
 def build_index(docs: DataFrame) -> LexicalIndex:
     """Index every row of `docs` (doc_id, text) that has a term.
 
-    Rows are range-partitioned by m, ties by a hash of the row's place, so a length that very many
-    documents share is dealt to many tasks. Rows that share a doc_id are documents of their own.
+    Consecutive strata are dealt together in sections of about equally many postings; a stratum with
+    more is dealt by a hash of the row's place. Rows that share a doc_id are documents of their own.
     """
     spark = docs.sparkSession
     counted, path = stage(
@@ -90,7 +97,19 @@ def build_index(docs: DataFrame) -> LexicalIndex:
         "doc_id", "terms", "tfs", F.expr(f"50L + (50L * n * {n_docs}L) div {max(n_terms, 1)}L").alias("m"),
         place_hash().alias("place"),
     )
-    ordered = measured.repartitionByRange("m", "place").sortWithinPartitions("m", "place")
+    measured = measured.withColumn("bucket", F.least("m", F.lit(LAST_STRATUM)))
+    weights = measured.groupBy("bucket").agg(F.sum(F.length("tfs") / 4).cast("long").alias("weight"))
+    # At most LAST_STRATUM rows reach this window and the broadcast.
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sections = weights.withColumn("before", F.coalesce(F.sum("weight").over(earlier), F.lit(0))).select(
+        "bucket", F.expr(f"before div {SECTION_POSTINGS}").alias("section"), F.expr(f"1 + weight div {SECTION_POSTINGS}").alias("lanes")
+    )
+    dealt = measured.join(F.broadcast(sections), "bucket").withColumn(
+        "section", F.col("section") + F.pmod("place", "lanes")
+    )
+    ordered = dealt.select("section", "doc_id", "m", "terms", "tfs", "place").repartition("section").sortWithinPartitions(
+        "section", "m", "place"
+    )
     segments, index_path = stage(ordered.mapInArrow(_segments, SEGMENT), "lexical_index")
     discard(spark, path)
     return LexicalIndex(segments, index_path, n_docs)
@@ -98,12 +117,15 @@ def build_index(docs: DataFrame) -> LexicalIndex:
 
 def _segments(batches) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    postings = 0
+    postings = section = 0
     for batch in batches:
-        names = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "m", "terms", "tfs")]
-        for row in zip(*names):
-            held.append(row)
-            postings += len(row[3]) // 4
+        for row in zip(*(batch.column(c).to_pylist() for c in ("section", "doc_id", "m", "terms", "tfs"))):
+            if held and row[0] != section:
+                yield _segment(held)
+                held, postings = [], 0
+            section = row[0]
+            held.append(row[1:])
+            postings += len(row[4]) // 4
             if postings >= SEGMENT_POSTINGS or len(held) >= SEGMENT_DOCUMENTS:
                 yield _segment(held)
                 held, postings = [], 0
@@ -111,8 +133,13 @@ def _segments(batches) -> Iterator[pa.RecordBatch]:
         yield _segment(held)
 
 
-def _int32(values) -> pa.Array:
-    return pa.array([np.asarray(values).astype("<i4").tobytes()], pa.binary())
+def _packed(values, kind: str = "<i4") -> pa.Array:
+    return pa.array([np.asarray(values).astype(kind).tobytes()], pa.binary())
+
+
+def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What a term of weight 1 adds to a score; below 1,000,000."""
+    return 1_000_000_000 * tf // (1000 * tf + 20 * m)
 
 
 def _segment(rows: list[tuple]) -> pa.RecordBatch:
@@ -128,20 +155,17 @@ def _segment(rows: list[tuple]) -> pa.RecordBatch:
     term, doc, tf = term[order], doc[order], tf[order]
     stratum = stratum_of[doc]
     starts = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(stratum) != 0) | (np.diff(tf) != 0)])
-    group_tf, group_stratum = tf[starts], stratum[starts]
-    impact = 1_000_000_000 * group_tf // (1000 * group_tf + 20 * m[group_stratum])
     columns = {
         "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
         "strata": pa.array([m], pa.list_(pa.int64())),
-        "stratum_docs": _int32(stratum_docs),
+        "stratum_docs": _packed(stratum_docs),
         "terms": pa.array([b" ".join(t.encode() for t in split.dictionary.to_pylist())], pa.binary()),
-        "dfs": _int32(np.bincount(term, minlength=len(split.dictionary))),
-        "term_groups": _int32(np.bincount(term[starts], minlength=len(split.dictionary))),
-        "group_stratum": _int32(group_stratum),
-        "group_tf": _int32(group_tf),
-        "group_impact": _int32(impact),
-        "group_docs": _int32(np.diff(np.r_[starts, len(doc)])),
-        "docs": _int32(doc),
+        "dfs": _packed(np.bincount(term, minlength=len(split.dictionary))),
+        "term_groups": _packed(np.bincount(term[starts], minlength=len(split.dictionary))),
+        "group_stratum": _packed(stratum[starts], "<u2"),
+        "group_tf": _packed(tf[starts]),
+        "group_docs": _packed(np.diff(np.r_[starts, len(doc)]), "<u2"),
+        "docs": _packed(doc, "<u2"),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -150,8 +174,8 @@ class Segment:
     """An index row, opened for the terms of a block of queries."""
 
     def __init__(self, row: dict, numbers: dict[bytes, int], weights: np.ndarray) -> None:
-        def ints(name: str) -> np.ndarray:
-            return np.frombuffer(row[name].as_py(), "<i4")
+        def ints(name: str, kind: str = "<i4") -> np.ndarray:
+            return np.frombuffer(row[name].as_py(), kind)
 
         ids = row["doc_ids"].values
         self.unnamed = np.asarray(ids.is_null())
@@ -159,9 +183,9 @@ class Segment:
         self.stratum_docs = ints("stratum_docs")
         self.stratum_of = np.repeat(np.arange(len(self.stratum_docs)), self.stratum_docs)
         self._groups = np.r_[0, np.cumsum(ints("term_groups"))]
-        self._ends = np.cumsum(ints("group_docs"), dtype=np.int64)
-        self._sizes, self._docs = ints("group_docs"), ints("docs")
-        self._stratum, self._impact = ints("group_stratum"), ints("group_impact")
+        self._sizes, self._docs = ints("group_docs", "<u2"), ints("docs", "<u2")
+        self._ends = np.cumsum(self._sizes, dtype=np.int64)
+        self._m, self._stratum, self._tf = row["strata"].values.to_numpy(), ints("group_stratum", "<u2"), ints("group_tf")
         self._weights = weights
         wanted = map(numbers.get, row["terms"].as_py().split(b" "))
         self._place = {number: i for i, number in enumerate(wanted) if number is not None}
@@ -177,8 +201,8 @@ class Segment:
     def _read(self, i: int, weight: int) -> tuple:
         first, last = self._groups[i], self._groups[i + 1]
         sizes, strata = self._sizes[first:last], self._stratum[first:last]
-        gains = self._impact[first:last].astype(np.int64) * weight
-        docs = self._docs[self._ends[first] - sizes[0]:self._ends[last - 1]]
+        gains = impacts(self._tf[first:last].astype(np.int64), self._m[strata]) * weight
+        docs = self._docs[self._ends[first] - int(sizes[0]):self._ends[last - 1]]
         # Groups ascend by tf within a stratum, and so do their gains.
         highest = np.flatnonzero(np.r_[np.diff(strata) != 0, True])
         return docs, np.repeat(gains, sizes), strata[highest], gains[highest]
