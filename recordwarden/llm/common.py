@@ -24,6 +24,18 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that `df` does not use, however it spells its own."""
+    used = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name in used:
+            name = f"_{name}"
+        used.add(name)
+        free.append(name)
+    return free
+
+
 def order_bucket(hashed: Column, bits: int) -> Column:
     """The leading bits of a 64-bit hash, so that buckets keep the order of the hashes."""
     return F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int")

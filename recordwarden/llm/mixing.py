@@ -15,7 +15,7 @@ from math import floor, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_bucket, section_bits, staged, with_running_total
+from .common import free_names, order_bucket, section_bits, staged, with_running_total
 
 #: Exponents tried in one pass over the source totals: four bisections at once.
 TRIED = 15
@@ -181,13 +181,18 @@ def mixed_stream(docs: DataFrame, target: Target, block_tokens: int = 1 << 20, s
 
 
 def mixed_documents(docs: DataFrame, target: Target, seed: int = 3) -> DataFrame:
-    """`docs` with every row as often as the mixture uses it. Only the sources' quotas are joined on."""
+    """`docs`, all its columns, with every row as often as the mixture uses it.
+
+    Null sources are one source and null texts are empty; rows that share a doc_id and a text are
+    used equally often, and an empty table gives an empty one. Only the sources' quotas are joined on.
+    """
     rows = staged(measured_rows(docs), "mixing_rows")
     mixture = plan_mixture(rows, target, seed)
     columns = docs.columns
-    sources = mixture.sources.select([F.col(c).alias(f"_{c}") for c in ("source", "whole", "last")])
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    draw = F.xxhash64(F.lit(seed), F.col("_whole").cast("int"), F.col("doc_id").cast("long"), F.col("_mark"))
-    uses = F.col("_whole") + F.when(draw <= F.col("_last"), 1).otherwise(0)
-    joined = marked.join(sources, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_uses", uses).where("_uses > 0")
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_uses"))).alias("_use")).select(*columns)
+    mark, of, whole, last, uses, use = free_names(docs, "mark", "of", "whole", "last", "uses", "use")
+    sources = mixture.sources.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("last").alias(last))
+    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    draw = F.xxhash64(F.lit(seed), F.col(whole).cast("int"), F.col("doc_id").cast("long"), F.col(mark))
+    often = F.col(whole) + F.when(draw <= F.col(last), 1).otherwise(0)
+    joined = marked.join(sources, F.col("source").cast("string").eqNullSafe(F.col(of))).withColumn(uses, often).where(F.col(uses) > 0)
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col(uses))).alias(use)).select(*columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import free_names, text_bytes
 
 #: Hashed features.
 DIMENSIONS = 1 << 18
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: OrdinalModel, least: int = 2, least_tail: floa
     def compute(batches):
         features = Features()
         for batch in batches:
-            tails = np.array([model.tails(model.weights[features.of(t.decode())].sum()) for t in batch.column("_text").to_pylist()])
+            tails = np.array([model.tails(model.weights[features.of(t.decode())].sum()) for t in batch.column(text).to_pylist()])
             tails = tails.reshape(-1, len(model.thresholds))
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
@@ -193,4 +193,5 @@ def score(docs: DataFrame, model: OrdinalModel, least: int = 2, least_tail: floa
     source = docs.drop("expected_grade", "tail", "keep")
     names = source.columns
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "expected_grade double, tail double, keep boolean"])
-    return source.withColumn("_text", text_bytes()).mapInArrow(compute, kinds)
+    text, = free_names(source, "text_bytes")
+    return source.withColumn(text, text_bytes()).mapInArrow(compute, kinds)

@@ -14,6 +14,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 # The base patterns and their least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -37,6 +39,51 @@ class MarkovRatio:
     threshold: float
 
 
+#: Lists are walked in blocks of so many entries: a list grown entry by entry is copied every time.
+BLOCK = 256
+
+
+def _no_spans() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
+
+
+def _walk(values: Column, state: Column, nothing: Column, step: Callable, finish: Callable) -> Column:
+    """Walks a list from left to right, block by block.
+
+    `step(state, value)` gives the state after a value and a list of outputs, whose empty form is
+    `nothing`; `finish(state, outputs)` ends the walk, the outputs being one list per block.
+    """
+    def one(done: Column, value: Column) -> Column:
+        after, out = step(done["state"], value)
+        return F.struct(after.alias("state"), F.concat(done["out"], out).alias("out"))
+
+    def block(done: Column, held: Column) -> Column:
+        return F.aggregate(
+            held, F.struct(done["state"].alias("state"), nothing.alias("out")), one,
+            lambda x: F.struct(x["state"].alias("state"), F.concat(done["out"], F.array(x["out"])).alias("out")),
+        )
+
+    start = F.struct(state.alias("state"), F.slice(F.array(nothing), 1, 0).alias("out"))
+    return F.aggregate(_blocks(values), start, block, lambda x: finish(x["state"], x["out"]))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once: what a lambda takes from outside is worked out at every call."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    def cut(held: Column) -> Column:
+        last = F.floor(F.greatest(F.size(held) - 1, F.lit(0)) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(held, i * BLOCK + 1, F.lit(BLOCK)))
+
+    return _once(values, cut)
+
+
+def _span(start: Column, kind: Column, stop: Column) -> Column:
+    return F.struct(start.alias("start"), kind.alias("kind"), stop.alias("stop"))
+
+
 def _matches(pattern: str, kind: str, group: int, wanted: Callable[[Column], Column]) -> Column:
     """Spans (start, kind, end) of the matches in `text` whose group is wanted, in code points.
 
@@ -53,24 +100,16 @@ def _matches(pattern: str, kind: str, group: int, wanted: Callable[[Column], Col
             F.char_length(x["gap"]).alias("gap"), F.char_length(x["m"]).alias("m"), wanted(x["g"]).alias("wanted")
         ),
     )
-    order = KINDS.index(kind)
-    empty = F.array().cast(f"array<{SPAN}>")
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda done, x: F.struct(
-            (done["at"] + x["gap"] + x["m"]).alias("at"),
-            F.when(
-                x["wanted"],
-                F.concat(done["spans"], F.array(F.struct(
-                    (done["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind"),
-                    (done["at"] + x["gap"] + x["m"]).alias("stop"),
-                ))),
-            ).otherwise(done["spans"]).alias("spans"),
-        ),
-    )
+    order, empty = F.lit(KINDS.index(kind)), _no_spans()
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        found = F.array(_span(start, order, start + x["m"]))
+        return start + x["m"], F.when(x["wanted"], found).otherwise(empty)
+
+    walked = _walk(lengths, F.lit(0), empty, step, lambda _, out: F.flatten(out))
     # Most texts have no match: spare them the split.
-    return F.when(F.rlike(source, F.lit(pattern)), walked["spans"]).otherwise(empty)
+    return F.when(F.rlike(source, F.lit(pattern)), walked).otherwise(empty)
 
 
 def _of_length(least: int) -> Callable[[Column], Column]:
@@ -169,17 +208,42 @@ def _looks_random(model: MarkovRatio) -> Callable[[Column], Column]:
     return lambda token: token.rlike("[A-Za-z]") & (_mean_ratio(token, model) > model.threshold)
 
 
+def _free_of(base: Column, tokens: Column) -> Column:
+    """The base spans and the tokens that overlap none of them, by start and then kind.
+
+    Tokens do not overlap each other, so a base span can only meet the last token before it.
+    """
+    state = F.struct(F.lit(0).alias("reach"), F.lit(None).cast(SPAN).alias("token"))
+
+    def step(held: Column, s: Column) -> tuple[Column, Column]:
+        is_base = s["kind"] < len(KINDS) - 1
+        token, reach = held["token"], held["reach"]
+        spared = F.when(token.isNull() | (is_base & (s["start"] < token["stop"])), _no_spans()).otherwise(F.array(token))
+        after = F.struct(
+            F.when(is_base, F.greatest(reach, s["stop"])).otherwise(reach).alias("reach"),
+            F.when(~is_base & (s["start"] >= reach), s).alias("token"),
+        )
+        return after, F.when(is_base, F.concat(spared, F.array(s))).otherwise(spared)
+
+    def finish(held: Column, out: Column) -> Column:
+        return F.concat(F.flatten(out), F.when(held["token"].isNull(), _no_spans()).otherwise(F.array(held["token"])))
+
+    merged = _walk(F.array_sort(F.concat(base, tokens)), state, _no_spans(), step, finish)
+    return F.when(F.size(tokens) == 0, base).otherwise(merged)
+
+
 def scan(docs: DataFrame, model: MarkovRatio, kept: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns `kept`, text and spans for every row of `docs`; spans are structs (start, kind, stop) in order.
 
     Positions count code points, `stop` is exclusive, kind indexes KINDS. A null text counts as
-    empty. A token that overlaps a base span is left to it. Nothing is shuffled.
+    empty, and an empty table gives an empty one; equal rows are scanned one by one. A token that
+    overlaps a base span is left to it. Columns named text or spans are replaced. Nothing is shuffled.
     """
     others = [c for c in kept if c not in ("text", "spans")]
     rows = docs.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_base", base_spans()).withColumn("_random", _matches(TOKEN, "markov", 0, _looks_random(model)))
-    free = F.filter("_random", lambda t: ~F.exists("_base", lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"])))
-    return rows.select(*others, "text", F.array_sort(F.concat("_base", free)).alias("spans"))
+    base, tokens = free_names(rows, "base", "tokens")
+    rows = rows.withColumn(base, base_spans()).withColumn(tokens, _matches(TOKEN, "markov", 0, _looks_random(model)))
+    return rows.select(*others, "text", _free_of(F.col(base), F.col(tokens)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -193,28 +257,49 @@ def listed(spans: Column) -> Column:
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts of the base spans, their digest, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+
+    def of(kind: int) -> Callable[[Column], Column]:
+        return lambda s: s["kind"] == kind
+
+    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return scanned.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def masked(scanned: DataFrame, mask: str = "<SECRET>") -> DataFrame:
     """The texts with every span replaced; overlapping spans are replaced together."""
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= s["start"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(
-                F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"),
-            ))),
-        ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))),
-    )
-    pieces = F.aggregate(
-        merged, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda done, s: F.struct(
-            s["stop"].alias("at"),
-            F.concat(done["parts"], F.array(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mask))).alias("parts"),
-        ),
+    range_ = "struct<start:int,stop:int>"
+    nothing = F.array().cast(f"array<{range_}>")
+
+    def join(open_: Column, s: Column) -> tuple[Column, Column]:
+        meets = open_.isNotNull() & (open_["stop"] >= s["start"])
+        after = F.struct(
+            F.when(meets, open_["start"]).otherwise(s["start"]).alias("start"),
+            F.when(meets, F.greatest(open_["stop"], s["stop"])).otherwise(s["stop"]).alias("stop"),
+        )
+        return after, F.when(open_.isNull() | meets, nothing).otherwise(F.array(open_))
+
+    merged = _walk(F.col("spans"), F.lit(None).cast(range_), nothing, join, lambda open_, out: F.concat(F.flatten(out), F.array(open_)))
+
+    def replaced(part: Column, first: Column, held: Column) -> Column:
+        """A part of the text that starts at `first` and ends with the last range of `held`."""
+        return F.aggregate(
+            held, F.struct(first.alias("at"), F.array().cast("array<string>").alias("parts")),
+            lambda done, s: F.struct(
+                s["stop"].alias("at"),
+                F.concat(done["parts"], F.array(F.substring(part, done["at"] - first + 1, s["start"] - done["at"]), F.lit(mask))).alias("parts"),
+            ),
+            lambda done: F.array_join(done["parts"], ""),
+        )
+
+    def block(done: Column, held: Column) -> Column:
+        stop = F.element_at(held, -1)["stop"]
+        part = F.substring(F.col("text"), done["at"] + 1, stop - done["at"])
+        replacement = _once(part, lambda p: replaced(p, done["at"], held))
+        return F.struct(stop.alias("at"), F.concat(done["parts"], F.array(replacement)).alias("parts"))
+
+    whole = F.aggregate(
+        _blocks(merged), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), block,
+        lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(F.col("text"), done["at"] + 1, F.char_length("text"))),
     )
-    rest = F.substring(F.col("text"), pieces["at"] + 1, F.char_length("text"))
-    whole = F.concat(F.array_join(pieces["parts"], ""), rest)
     return scanned.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))

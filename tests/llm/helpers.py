@@ -16,9 +16,11 @@ ODD_TEXTS = [
 
 def odd_documents(spark):
     """Odd rows with additional columns whose names the operators use themselves."""
-    rows = [(i, t, "a", f"s{k % 3}", 0, 1, "x", 2.0) for k, (i, t) in enumerate(ODD_TEXTS)]
+    more = "_text _base _random _mark _source _whole _last _uses _use spans text_bytes base tokens mark of whole last uses use merged".split()
+    rows = [(i, t, "a", f"s{k % 3}", 0, 1, "x", 2.0, *[k] * len(more)) for k, (i, t) in enumerate(ODD_TEXTS)]
     return spark.createDataFrame(
-        rows, "doc_id long, text string, lang string, source string, n_chars long, fp int, key string, size double"
+        rows, "doc_id long, text string, lang string, source string, n_chars long, fp int, key string, size double, "
+        + ", ".join(f"`{c}` int" for c in more)
     ).repartition(3)
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from recordwarden.llm import packing, planes, queries, shards
+from recordwarden.llm import packing, planes, queries, shards, tokens
 from recordwarden.llm.tokens import TokenEncoder
 
 from .helpers import ODD_TEXTS, TABLES, empty_documents, odd_documents, read, rows_of
@@ -18,7 +18,6 @@ END = (2).to_bytes(4, "little")
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(queries.vocabulary())
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(
         tokenizer.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4").tobytes()
 
@@ -33,14 +32,31 @@ def encoder():
 def test_pieces_give_the_ids_of_the_whole_text(texts):
     encoder = TokenEncoder.__new__(TokenEncoder)
     encoder.__dict__.update(_SHARED.__dict__)
-    assert encoder.encode_all(texts) == [encoder._whole(t) for t in texts]
+    whole = encoder._tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert list(encoder.encode_all(texts)) == [np.array(e.ids, dtype="<u4").tobytes() for e in whole]
 
 
 _SHARED = TokenEncoder(queries.vocabulary())
 
 
-def test_all_documents_encode_as_wholes(plain, encoder):
+def test_all_documents_encode_as_wholes(plain, encoder, monkeypatch):
     texts = read("documents").text.tolist() + [t for _, t in ODD_TEXTS]
+    want = [plain(t) for t in texts]
+    assert [ids + END for ids in encoder.encode_all(texts)] == want
+    monkeypatch.setattr(tokens, "TOGETHER", 700)  # portions within texts
+    assert [ids + END for ids in encoder.encode_all(texts)] == want
+
+
+def test_added_tokens_keep_their_id(plain, encoder):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext| >", "end<|endoftext|>", "<|endoftext|>\n<|endoftext|>"]
+    assert [ids + END for ids in encoder.encode_all(texts)] == [plain(t) for t in texts]
+    assert np.frombuffer(next(encoder.encode_all(texts)), "<u4").tolist() == [50256]
+
+
+def test_every_character_between_words(plain, encoder):
+    """Letters, digits and signs of all alphabets, alone, inside a word and after one."""
+    shown = [c for c in map(chr, range(0x21, 0x20000)) if not c.isspace() and not 0xD800 <= ord(c) < 0xE000]
+    texts = [" ".join(f"{c} a{c}b {c}c a{c}" for c in shown[i:i + 500]) for i in range(0, len(shown), 500)]
     assert [ids + END for ids in encoder.encode_all(texts)] == [plain(t) for t in texts]
 
 

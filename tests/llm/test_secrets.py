@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +40,57 @@ def model(spark):
     return secrets.train(secrets.labelled_strings(queries.documents(spark, "/root/testdata/sf0.01")))
 
 
+def plain_spans(text, model):
+    """Base spans and the tokens that look random and meet none of them."""
+    found = plain_base(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text):
+        states = [secrets.ALPHABET.index(c) for c in m[0]]
+        mean = sum(model.ratios[a * secrets.STATES + b] for a, b in zip(states, states[1:])) / (len(states) - 1)
+        if re.search("[A-Za-z]", m[0]) and mean > model.threshold and not any(s < m.end() and m.start() < e for s, _, e in plain_base(text)):
+            found.append((m.start(), 3, m.end()))
+    return sorted(found)
+
+
+def plain_digest(text, model):
+    base = plain_base(text)
+    counts = [sum(k == j for _, k, _ in base) for j in range(3)]
+    return (*counts, hashlib.sha256(plain_listed(base).encode()).hexdigest(), plain_listed(plain_spans(text, model)))
+
+
+def digests(scanned):
+    return {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.digest(scanned).collect()}
+
+
+def test_digests_of_whole_documents(spark, model):
+    docs = queries.documents(spark, "/root/testdata/sf0.01")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = digests(secrets.scan(docs, model))
+    assert found == {i: plain_digest(t or "", model) for i, t in texts.items()}
+    assert sum(d[0] + d[1] + d[2] > 0 for d in found.values()) >= 10
+
+
+def test_digests_of_tricky_texts(spark, model):
+    draw = np.random.default_rng(8)
+    key = lambda n: "".join(draw.choice(list("0123456789abcdefghijKLMNOP"), n))
+    texts = TRICKY + [
+        f"{key(30)}password={key(9)} {key(20)}", f"a/{key(22)}.{key(25)}token:{key(3)} {key(24)}", f"{'ab12' * 8}-{key(20)} secret='{'cd34' * 8}'",
+        " ".join(f"{key(18)} {'0a' * 14} token={key(8)}" for _ in range(700)),
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert digests(secrets.scan(rows, model)) == {i: plain_digest(t, model) for i, t in enumerate(texts)}
+
+
+def test_very_many_spans_in_one_text(spark, model):
+    """Work grows with the text, not with the square of its spans."""
+    text = " ".join(f"{k:032x}" for k in range(8_000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    scanned = secrets.scan(rows, model)
+    assert digests(scanned)[1][:3] == (0, 0, 8_000)
+    assert secrets.masked(scanned).first().text == " ".join(["<SECRET>"] * 8_000)
+    assert time.time() - started < 60
+
+
 def test_query_base_spans_equal_regular_expressions(spark):
     texts = dict(zip(*[read("documents")[c] for c in ("doc_id", "text")]))
     found = {r.doc_id: r for r in queries.op5_secret_spans(spark, TABLES).collect()}
