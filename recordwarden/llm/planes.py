@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ MAGIC = b"IDPLANES"
 HEAD = "<8sIII"
 FOOT = "<QQQQ8s"
 PLANES = {"byte": 4, "bit": 32}
+#: A file is read back whole, so it ends with the document that brings it to so many ids (256 MB of them).
+FILE_IDS = 1 << 26
+FILES_PER_TASK = 1_000_000
 
 
 def to_planes(ids: np.ndarray, planes: int) -> list[bytes]:
@@ -155,12 +159,15 @@ class PlaneFile:
             buffer = buffer[4 * n:]
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, planes: str = "byte", block: int = 1 << 16) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, vocabulary: str, folder: str, planes: str = "byte", block: int = 1 << 16, file_ids: int = FILE_IDS
+) -> DataFrame:
     """Encode every row of `docs` and write its ids in ascending doc_id order to files in `folder`.
 
-    Rows are range-partitioned by doc_id and sorted (nulls first; rows that share a doc_id by the
-    hash of their text), one file per partition, numbered in that order. A file first has a name of
-    its own attempt and is renamed when complete. Returns (file, n_docs, n_ids) per file.
+    Rows are range-partitioned and sorted by doc_id (nulls first), rows that share one by the hash of
+    their text. A partition's files are numbered in that order; the next begins after the document
+    that brings a file to `file_ids` ids. A file first has a name of its own attempt and is renamed
+    when complete; the draft of a failed attempt is deleted. Returns (file, n_docs, n_ids) per file.
     """
     end = END_ID.to_bytes(4, "little")
 
@@ -168,28 +175,37 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, planes: str
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(folder)
-        number = TaskContext.get().partitionId()
-        encoder, writer, sink = worker_encoder(vocabulary), None, None
-        draft = f"{root}/.{number:06d}-{uuid.uuid4().hex}"
-        for batch in batches:
-            if writer is None:
-                files.create_dir(root, recursive=True)
-                sink = files.open_output_stream(draft)
-                writer = PlaneWriter(sink, planes, block)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
-                writer.add(doc_id, ids + end)
-        if writer is not None:
-            n_docs, n_ids = writer.close()
-            sink.close()
-            files.move(draft, f"{root}/{number:06d}.planes")
+        first = TaskContext.get().partitionId() * FILES_PER_TASK
+        encoder, number = worker_encoder(vocabulary), 0
+        rows = ((doc_id, ids) for batch in batches for doc_id, ids in zip(
+            batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())))
+        row = next(rows, None)
+        while row is not None:
+            files.create_dir(root, recursive=True)
+            draft = f"{root}/.{first + number:012d}-{uuid.uuid4().hex}"
+            try:
+                with files.open_output_stream(draft) as sink:
+                    writer, written = PlaneWriter(sink, planes, block), 0
+                    while row is not None and written < file_ids:
+                        writer.add(row[0], row[1] + end)
+                        written += len(row[1]) // 4 + 1
+                        row = next(rows, None)
+                    n_docs, n_ids = writer.close()
+                files.move(draft, f"{root}/{first + number:012d}.planes")
+            except BaseException:
+                with suppress(OSError):
+                    files.delete_file(draft)
+                raise
             yield pa.RecordBatch.from_pydict({
-                "file": pa.array([number], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()),
+                "file": pa.array([first + number], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()),
                 "n_ids": pa.array([n_ids], pa.int64()),
             })
+            number += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return staged(ordered.mapInArrow(compute, "file int, n_docs long, n_ids long"), "plane_files")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(ordered.mapInArrow(compute, "file long, n_docs long, n_ids long"), "plane_files")
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
@@ -203,17 +219,19 @@ def read_token_files(spark, folder: str) -> DataFrame:
                 for place, (doc_id, ids) in enumerate(PlaneFile(data.as_py()).documents()):
                     rows.append((number, place, doc_id, start, len(ids) // 4, zlib.crc32(ids)))
                     start += len(ids) // 4
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                kinds = [pa.int64()] * 6
                 names = ["file", "place", "doc_id", "start", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.planes").load(folder)
     return files.select("path", "content").mapInArrow(
-        compute, "file int, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
+        compute, "file long, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
-def token_file_index(docs: DataFrame, vocabulary: str, planes: str = "byte", block: int = 1 << 16) -> DataFrame:
+def token_file_index(
+    docs: DataFrame, vocabulary: str, planes: str = "byte", block: int = 1 << 16, file_ids: int = FILE_IDS
+) -> DataFrame:
     """Writes the token files of `docs` to the shared folder and reads every document's entry back.
 
     Null and empty texts are the end id alone; an empty table writes no file. Only doc_id and text
@@ -221,7 +239,7 @@ def token_file_index(docs: DataFrame, vocabulary: str, planes: str = "byte", blo
     """
     spark = docs.sparkSession
     folder = staging_path(spark, "token_planes")
-    written = write_token_files(docs, vocabulary, folder, planes, block)
+    written = write_token_files(docs, vocabulary, folder, planes, block, file_ids)
     if written.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file

@@ -169,8 +169,8 @@ def test_file_round_trip(docs, kind):
     assert list(planes.PlaneFile(sink.getvalue()).documents()) == want
 
 
-@pytest.mark.parametrize("kind", ["byte", "bit"])
-def test_token_files(spark, plain, kind):
+@pytest.mark.parametrize("kind, file_ids", [("byte", 1 << 26), ("bit", 1 << 26), ("byte", 3000)])
+def test_token_files(spark, plain, kind, file_ids):
     docs = read("documents").sort_values("doc_id")
     want, start = [], 0
     for doc_id, text in zip(docs.doc_id.tolist(), docs.text):
@@ -178,7 +178,7 @@ def test_token_files(spark, plain, kind):
         want.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     source = queries.documents(spark, TABLES).repartition(5)
-    found = planes.token_file_index(source, queries.vocabulary(), kind, block=1000)
+    found = planes.token_file_index(source, queries.vocabulary(), kind, block=1000, file_ids=file_ids)
     assert rows_of(found, "doc_id", "start", "n_tokens", "ids_crc32") == want
 
 
