@@ -32,7 +32,7 @@ from .words import words_of
 #: A segment ends with the document that brings it to so many postings or documents; the latter fit 16 bits.
 SEGMENT_POSTINGS, SEGMENT_DOCUMENTS = 1 << 18, 1 << 15
 #: Strata are dealt to tasks in sections of about so many postings.
-SECTION_POSTINGS = 1 << 20
+SECTION_POSTINGS = 1 << 18
 #: Strata from this m on share one entry of the table of sections, which bounds that table.
 LAST_STRATUM = 1 << 16
 #: Queries are searched in blocks of about so many terms, which bounds what a task is sent.
