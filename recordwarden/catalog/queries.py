@@ -25,7 +25,7 @@ from ..operators.row_checks import (
 )
 from ..plans.audit import CHECK_NAMES, run_checks
 from ..plans.correction_bundle import candidate_tables, row_counts, write_corrections
-from ..plans.report import build_report, headline_columns
+from ..plans.report import build_report, headline_columns, narrow_numbers
 from ..sources.csv_tables import latest_activity, load_crm, read_export
 from ..sources.staging import staged, staging_path
 from . import bindings as b
@@ -55,14 +55,8 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.price_findings(_findings(spark, sf_dir))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[CrmTables, DataFrame, DataFrame]:
-    """Tables, priced findings, and the score totals with every check's share.
-
-    Both are read from one staged table, so that every check runs once.
-    """
-    tables = b.crm(spark, sf_dir)
-    priced = staged(scoring.price_findings(run_checks(tables, b.policy())), "findings")
-    return tables, priced, scoring.score_totals(priced, tables.counts(), list(CHECK_NAMES))
+def _numbers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return narrow_numbers(b.crm(spark, sf_dir), b.policy())
 
 
 # --- sources -----------------------------------------------------------------
@@ -444,7 +438,7 @@ def deal_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = run_checks(
         tables, b.policy(), ["missing_fields_deals", "stale_deals", "past_close_date"]
     )
-    return scoring.cost_summary(scoring.price_findings(findings), tables.deals)
+    return scoring.cost_of_findings(findings, tables.deals)
 
 
 @register
@@ -471,9 +465,7 @@ def open_deal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = b.crm(spark, sf_dir)
-    return scoring.cost_summary(
-        scoring.price_findings(run_checks(tables, b.policy())), tables.deals
-    )
+    return scoring.cost_of_findings(run_checks(tables, b.policy()), tables.deals)
 
 
 @register
@@ -500,8 +492,7 @@ def score_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def punch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, priced, totals = _scored(spark, sf_dir)
-    return scoring.punch_list(priced, totals, CHECK_NAMES)
+    return _numbers(spark, sf_dir)["items"]
 
 
 @register
@@ -512,10 +503,8 @@ def start_here(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def report_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables, priced, totals = _scored(spark, sf_dir)
-    return headline_columns(
-        scoring.health_score(totals), scoring.cost_summary(priced, tables.deals), severity_counts(priced)
-    )
+    numbers = _numbers(spark, sf_dir)
+    return headline_columns(numbers["score"], numbers["cost"], numbers["severities"])
 
 
 @register
@@ -549,7 +538,7 @@ def findings_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correction_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every correction table that has rows, written as CSV; the rows are counted in the files."""
     tables = b.crm(spark, sf_dir)
-    priced = staged(scoring.price_findings(run_checks(tables, b.policy())), "findings")
+    priced = scoring.price_findings(run_checks(tables, b.policy()))
     path = staging_path(spark, "corrections")
     listed = write_corrections(tables, priced, path).select("position", "filename", "kind", "object_type", "rows")
     files = [r.filename for r in listed.select("filename").collect()]  # at most ten
@@ -630,7 +619,7 @@ def fix_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def fix_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corrections.deal_worklist(_priced(spark, sf_dir))
+    return corrections.deal_worklist(scoring.price_findings(_findings(spark, sf_dir, *corrections.DEAL_CHECKS)))
 
 
 @register

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +12,11 @@ from ..config import CostAssumptions
 from ..functions import text
 from ..functions.values import round_exact
 from ..model import DEALS, severity_label
+from ..sources.staging import PLACE, with_places
 
 # Fixed value: a record cannot lose more than this.
 MAX_PENALTY = 6.0
 OVERALL = "overall"
-#: Into so many groups the findings of one record id are spread; results do not depend on it.
-EXPOSURE_LANES = 64
-
 
 # --- pricing -----------------------------------------------------------------
 
@@ -34,35 +32,55 @@ def neglect_days() -> Column:
     return F.coalesce("meta.days_inactive", "meta.days_overdue")
 
 
-def _with_deal_exposure(findings: DataFrame, bands: Sequence[tuple[int, float]]) -> DataFrame:
-    """`at_risk_usd` on the worst finding of each deal, 0 on its other findings.
+def exposure(bands: Sequence[tuple[int, float]]) -> Column:
+    """What a deal finding puts at risk, null where it is nothing."""
+    amount, factor = F.col("meta.amount"), risk_factor(neglect_days(), bands)
+    return F.when((F.col("object_type") == DEALS) & amount.isNotNull() & (factor > 0), amount * factor)
 
-    The best finding is picked within (record, lane) first and among those
-    winners second. A blank or repeated record id shared by very many rows is
-    therefore never sorted by one task. Lanes and ties depend on the findings
-    alone, so the owner does not change with the partitions.
-    """
-    amount = F.col("meta.amount")
-    factor = risk_factor(neglect_days(), bands)
-    exposed = findings.withColumn(
-        "_exposure", F.when(amount.isNotNull() & (factor > 0), amount * factor)
-    ).withColumn("_hash", F.xxhash64(*findings.columns)).withColumn("_lane", F.pmod("_hash", F.lit(EXPOSURE_LANES)))
-    ranking = [F.desc_nulls_last("_exposure"), F.asc("check_id"), F.asc("message"), F.asc("_hash")]
-    local = Window.partitionBy("record_id", "_lane").orderBy(*ranking)
-    exposed = exposed.withColumn(
-        "_leads", (F.row_number().over(local) == 1) & F.col("_exposure").isNotNull()
-    )
-    group = F.when(F.col("_leads"), F.lit(-1)).otherwise(F.col("_lane"))
-    final = Window.partitionBy("record_id", group).orderBy(*ranking)
-    owns = F.col("_leads") & (F.row_number().over(final) == 1)
-    return exposed.withColumn(
-        "at_risk_usd", F.when(owns, round_exact(F.col("_exposure"), 2)).otherwise(F.lit(0.0))
-    ).drop("_exposure", "_hash", "_lane", "_leads")
 
+def _exposure_rank(value: Column, assumptions: CostAssumptions) -> Column:
+    """A number that orders findings of one deal by exposure, then check, then content.
 
-def price_findings(findings: DataFrame, assumptions: CostAssumptions | None = None) -> DataFrame:
-    """Adds minutes of work, their cost, and the pipeline at risk to every finding."""
-    assumptions = assumptions or CostAssumptions()
+    It has the 63 bits of the positive double above 63 bits for ties, so the worst finding is the
+    maximum of a number and Spark combines it in a hash map, before and after the shuffle. Checks
+    come in alphabetical order, those without a rate last.
+    """
+    near = F.floor(F.log2(value))  # next to a power of two it can be off by one
+    two = F.lit(2.0)
+    exact = near + F.when(value < F.pow(two, near), -1).when(value >= F.pow(two, near + 1), 1).otherwise(0)
+    exponent = F.greatest(exact, F.lit(-1022))
+    mantissa = value / F.pow(two, exponent) - 1
+    bits = (exponent + 1023) * F.lit(1 << 52) + (mantissa * float(1 << 52)).cast("long")
+    checks = sorted({check for check, _ in assumptions.remediation_minutes})
+    order = F.lit(len(checks))
+    for i, check in enumerate(checks):
+        order = F.when(F.col("check_id") == check, F.lit(i)).otherwise(order)
+    content = F.xxhash64("check_id", "message", "severity_rank", "field", "emit_order", "meta")
+    tie = (F.lit(127) - F.least(order, F.lit(127))).cast("long") * F.lit(1 << 56) + F.shiftrightunsigned(content, 8)
+    return bits.cast("decimal(19,0)") * F.expr(f"{1 << 63}BD") + tie.cast("decimal(19,0)")
+
+
+def _with_deal_exposure(findings: DataFrame, assumptions: CostAssumptions) -> DataFrame:
+    """`at_risk_usd` on the worst finding of each deal, 0 on its other findings.
+
+    Only ids, ranks and places of exposed findings are shuffled, one per deal and task; the chosen
+    place is joined back. Equal findings of one id have different places, so exactly one is chosen,
+    however many rows share a blank or repeated id, and no task holds all of them. `findings` must
+    come from `with_places`.
+    """
+    exposed = findings.withColumn("_exposure", exposure(assumptions.risk_bands)).where(F.col("_exposure").isNotNull())
+    ranked = exposed.select("record_id", PLACE, _exposure_rank(F.col("_exposure"), assumptions).alias("rank"))
+    owners = ranked.groupBy(F.col("record_id").alias("_id")).agg(F.max_by(PLACE, "rank").alias("_owner"))
+    same = F.col("_id").eqNullSafe(F.col("record_id")) & (F.col("_owner") == F.col(PLACE))
+    owned = exposed.join(owners, same, "left").withColumn(
+        "at_risk_usd", F.when(F.col("_owner").isNotNull(), round_exact(F.col("_exposure"), 2)).otherwise(F.lit(0.0))
+    ).drop("_exposure", "_id", "_owner")
+    others = findings.where(exposure(assumptions.risk_bands).isNull()).withColumn("at_risk_usd", F.lit(0.0))
+    return others.unionByName(owned)
+
+
+def with_rates(findings: DataFrame, assumptions: CostAssumptions) -> DataFrame:
+    """Adds `_minutes` and `_cost` of the work on each finding."""
     rates = findings.sparkSession.createDataFrame(
         [
             (check, severity, float(minutes), assumptions.cost_of(minutes))
@@ -76,18 +94,26 @@ def price_findings(findings: DataFrame, assumptions: CostAssumptions | None = No
         ]),
     )
     fallback = float(assumptions.fallback_minutes)
-    exposed = _with_deal_exposure(findings.where(F.col("object_type") == DEALS), assumptions.risk_bands)
-    others = findings.where(F.col("object_type") != DEALS).withColumn("at_risk_usd", F.lit(0.0))
-    return (
-        others.unionByName(exposed)
-        # The rate table comes from the assumptions: one row per check and severity.
-        .join(F.broadcast(rates), ["check_id", "severity_rank"], "left")
-        .select(
-            *[c for c in findings.columns if c != "revenue_impact_usd"],
-            F.coalesce("_cost", F.lit(assumptions.cost_of(fallback))).alias("revenue_impact_usd"),
-            F.coalesce("_minutes", F.lit(fallback)).alias("remediation_minutes"),
-            "at_risk_usd",
-        )
+    # The rate table comes from the assumptions: one row per check and severity.
+    return findings.join(F.broadcast(rates), ["check_id", "severity_rank"], "left").withColumns({
+        "_minutes": F.coalesce("_minutes", F.lit(fallback)),
+        "_cost": F.coalesce("_cost", F.lit(assumptions.cost_of(fallback))),
+    })
+
+
+def price_findings(findings: DataFrame, assumptions: CostAssumptions | None = None) -> DataFrame:
+    """Adds minutes of work, their cost, and the pipeline at risk to every finding.
+
+    Findings that are not from `with_places` yet are written to the shared staging folder first.
+    """
+    assumptions = assumptions or CostAssumptions()
+    placed = findings if PLACE in findings.columns else with_places(findings, "findings")
+    columns = [c for c in placed.columns if c not in ("revenue_impact_usd", PLACE)]
+    return with_rates(_with_deal_exposure(placed, assumptions), assumptions).select(
+        *columns,
+        F.col("_cost").alias("revenue_impact_usd"),
+        F.col("_minutes").alias("remediation_minutes"),
+        "at_risk_usd",
     )
 
 
@@ -101,12 +127,38 @@ def open_deal_value(deals: DataFrame, stage: str = "deal_stage", amount: str = "
 
 
 def cost_summary(priced: DataFrame, deals: DataFrame) -> DataFrame:
-    """One row of totals."""
-    work = priced.agg(
+    """One row of totals of priced findings."""
+    return _cost_columns(priced.agg(
         F.sum("remediation_minutes").alias("minutes"),
         F.sum("revenue_impact_usd").alias("direct"),
         F.sum("at_risk_usd").alias("at_risk"),
+    ), deals)
+
+
+def cost_of_findings(findings: DataFrame, deals: DataFrame, assumptions: CostAssumptions | None = None) -> DataFrame:
+    """The same totals from findings without prices: one aggregation per record.
+
+    Which finding carries a deal's exposure does not matter for a total, only the largest one does.
+    """
+    assumptions = assumptions or CostAssumptions()
+    rated = with_rates(
+        findings.select("check_id", "severity_rank", "object_type", "record_id", _kept_exposure(findings, assumptions)), assumptions
+    )
+    per_record = rated.groupBy("object_type", "record_id").agg(
+        F.sum("_minutes").alias("minutes"), F.sum("_cost").alias("direct"), F.max("exposure").alias("exposure"),
     )
+    return _cost_columns(per_record.agg(
+        F.sum("minutes").alias("minutes"), F.sum("direct").alias("direct"),
+        F.sum(round_exact(F.col("exposure"), 2)).alias("at_risk"),
+    ), deals)
+
+
+def _kept_exposure(findings: DataFrame, assumptions: CostAssumptions) -> Column:
+    kept = F.col("exposure") if "exposure" in findings.columns else exposure(assumptions.risk_bands)
+    return kept.alias("exposure")
+
+
+def _cost_columns(work: DataFrame, deals: DataFrame) -> DataFrame:
     # Both sides are single rows; the union and the maximum put them side by side.
     totals = work.unionByName(open_deal_value(deals), allowMissingColumns=True).agg(
         *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("minutes", "direct", "at_risk", "open_usd")]
@@ -214,46 +266,75 @@ def score_gains(totals: DataFrame) -> DataFrame:
 
 # --- remediation list --------------------------------------------------------
 
-def remediation_items(priced: DataFrame) -> DataFrame:
-    """Count, cost and worst example per check.
+#: What the report's numbers need of a finding.
+SUMMARY_COLUMNS = ("check_id", "object_type", "record_id", "severity_rank", "severity", "emit_order", "message")
+
+
+def summary_rows(findings: DataFrame, assumptions: CostAssumptions | None = None) -> DataFrame:
+    """The findings with their exposure and without all that no number of the report needs."""
+    assumptions = assumptions or CostAssumptions()
+    return findings.select(*SUMMARY_COLUMNS, _kept_exposure(findings, assumptions))
+
+
+def at_risk_by_check(rows: DataFrame, check_ids: Sequence[str]) -> DataFrame:
+    """(check_id, at_risk): every deal's largest exposure counts for the check it came from, ties for the first name.
+
+    One aggregation per deal over numbers; `rows` come from `summary_rows`.
+    """
+    checks = sorted(check_ids)
+    largest = [f"e{i}" for i in range(len(checks))]
+    per_deal = rows.where(F.col("exposure").isNotNull()).groupBy("record_id").agg(
+        *[F.max(F.when(F.col("check_id") == c, F.col("exposure"))).alias(e) for c, e in zip(checks, largest)]
+    )
+    best = F.greatest(*largest, F.lit(0.0))
+    owner = F.coalesce(*[F.when(F.col(e) == best, F.lit(c)) for c, e in zip(checks, largest)])
+    return per_deal.select(owner.alias("check_id"), round_exact(best, 2).alias("best")).groupBy("check_id").agg(
+        F.sum("best").alias("at_risk")
+    )
+
+
+def remediation_items(rows: DataFrame, check_ids: Sequence[str], assumptions: CostAssumptions | None = None) -> DataFrame:
+    """Count, cost and worst example per check; `rows` come from `summary_rows`.
 
     The set of severities (at most three values) also makes Spark aggregate in a
     hash map of checks; with the text example alone it would sort all findings.
     """
     worst = F.min(F.struct(
-        (-F.col("severity_rank")).alias("rank"), (-F.col("revenue_impact_usd")).alias("cost"),
+        (-F.col("severity_rank")).alias("rank"), (-F.col("_cost")).alias("cost"),
         "record_id", "emit_order", "object_type", "message",
     ))
-    return (
-        priced.groupBy("check_id")
+    work = (
+        with_rates(rows, assumptions or CostAssumptions())
+        .groupBy("check_id")
         .agg(
             F.count(F.lit(1)).alias("records"),
             F.array_max(F.collect_set("severity_rank")).alias("severity_rank"),
-            F.sum("remediation_minutes").alias("minutes"),
-            F.sum("revenue_impact_usd").alias("cost"),
-            F.sum("at_risk_usd").alias("at_risk"),
+            F.sum("_minutes").alias("minutes"),
+            F.sum("_cost").alias("cost"),
             worst.alias("worst"),
         )
-        .select(
-            "check_id",
-            F.col("worst.object_type").alias("object_type"),
-            "records",
-            "severity_rank",
-            round_exact(F.col("minutes") / 60.0, 1).alias("hours_to_fix"),
-            round_exact(F.col("cost"), 2).alias("cost_usd"),
-            round_exact(F.col("at_risk"), 2).alias("at_risk_usd"),
-            F.col("worst.message").alias("example"),
-        )
+    )
+    return work.join(at_risk_by_check(rows, check_ids), "check_id", "left").select(
+        "check_id",
+        F.col("worst.object_type").alias("object_type"),
+        "records",
+        "severity_rank",
+        round_exact(F.col("minutes") / 60.0, 1).alias("hours_to_fix"),
+        round_exact(F.col("cost"), 2).alias("cost_usd"),
+        round_exact(F.coalesce("at_risk", F.lit(0.0)), 2).alias("at_risk_usd"),
+        F.col("worst.message").alias("example"),
     )
 
 
-def punch_list(priced: DataFrame, totals: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Remediation items with their score gain, most valuable first."""
+def punch_list(
+    rows: DataFrame, totals: DataFrame, names: Mapping[str, str], assumptions: CostAssumptions | None = None
+) -> DataFrame:
+    """Remediation items with their score gain, most valuable first; `rows` come from `summary_rows`."""
     shown = F.initcap(F.replace("check_id", F.lit("_"), F.lit(" ")))
     for check_id, name in names.items():
         shown = F.when(F.col("check_id") == check_id, F.lit(name)).otherwise(shown)
     return (
-        remediation_items(priced)
+        remediation_items(rows, list(names), assumptions)
         .join(score_gains(totals), "check_id", "left")
         .orderBy(
             F.desc(F.col("at_risk_usd") + F.col("cost_usd")), F.desc("score_gain"),

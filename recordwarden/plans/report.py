@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ from ..functions.values import round_exact
 from ..model import OBJECT_TYPES, CrmTables
 from ..operators.findings import flatten, report_order, severity_counts
 from ..operators.scoring import (
-    OVERALL, cost_summary, health_score, price_findings, punch_list, score_totals, top_item,
+    OVERALL, cost_of_findings, health_score, price_findings, punch_list, score_totals, summary_rows, top_item,
 )
-from ..sources.staging import staged
+from ..sources.staging import staged, with_places
 from ..sources.writers import write_csv, write_json
 from .audit import CHECK_NAMES, CustomCheck, run_checks
 
@@ -61,9 +61,9 @@ def headline_columns(score: DataFrame, cost: DataFrame, severities: DataFrame) -
 
 @dataclass
 class Report:
-    """All parts are DataFrames; `findings` is the only large one."""
+    """All parts are DataFrames; `findings` is the only large one, priced when first asked for."""
 
-    findings: DataFrame
+    priced: Callable[[], DataFrame]
     counts: DataFrame
     score: DataFrame
     cost: DataFrame
@@ -73,6 +73,10 @@ class Report:
     assumptions: CostAssumptions
     checks_run: int
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self.priced()
+
     def findings_table(self) -> DataFrame:
         return flatten(self.findings.orderBy(*report_order()))
 
@@ -146,26 +150,43 @@ def build_report(
 ) -> Report:
     """Run every check and assemble the report.
 
-    The priced findings feed every other part, so they are written once to the
-    shared staging folder unless `stage` is off.
+    The findings are written once to the shared staging folder: prices, numbers and exports all
+    come from there. Without `stage` the numbers are computed from the checks each time; only the
+    priced findings are then written, when they are first asked for.
     """
     assumptions = assumptions or CostAssumptions()
     names = {**CHECK_NAMES, **{c: c.replace("_", " ").title() for c in custom_checks or {}}}
-    priced = price_findings(run_checks(tables, config, custom_checks=custom_checks), assumptions)
+    found = run_checks(tables, config, custom_checks=custom_checks)
     if stage:
-        priced = staged(priced, "findings")
-    counts = tables.counts()
-    totals = score_totals(priced, counts, list(names))
+        found = with_places(found, "findings")
+    numbers = numbers_of(summary_rows(found, assumptions), tables, names, assumptions)
     return Report(
-        findings=priced,
-        counts=counts,
-        score=health_score(totals),
-        cost=cost_summary(priced, tables.deals),
-        severities=severity_counts(priced),
-        items=punch_list(priced, totals, names),
+        **numbers,
+        priced=lambda: price_findings(found, assumptions),
         as_of=tables.as_of,
         assumptions=assumptions,
         checks_run=len(names),
     )
 
 
+def numbers_of(
+    rows: DataFrame, tables: CrmTables, names: Mapping[str, str], assumptions: CostAssumptions | None = None
+) -> dict[str, DataFrame]:
+    """Counts, score, cost, severities and items from the rows of `summary_rows`."""
+    counts = tables.counts()
+    totals = score_totals(rows, counts, list(names))
+    return {
+        "counts": counts,
+        "score": health_score(totals),
+        "cost": cost_of_findings(rows, tables.deals, assumptions),
+        "severities": severity_counts(rows),
+        "items": punch_list(rows, totals, names, assumptions),
+    }
+
+
+def narrow_numbers(
+    tables: CrmTables, config: AuditConfig, assumptions: CostAssumptions | None = None
+) -> dict[str, DataFrame]:
+    """The numbers alone: one audit, of which only the rows of `summary_rows` are written."""
+    rows = staged(summary_rows(run_checks(tables, config), assumptions), "finding_numbers")
+    return numbers_of(rows, tables, CHECK_NAMES, assumptions)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PLACE = "_place"
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -24,6 +27,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_places(df: DataFrame, name: str) -> DataFrame:
+    """`staged`, with a number in the column `PLACE` that tells all rows apart, equal ones too.
+
+    It is a hash of the row's file and position there, the same in every later read.
+    """
+    return staged(df, name).withColumn(PLACE, F.xxhash64("_metadata.file_name", "_metadata.row_index"))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -102,6 +103,7 @@ def test_totals(spark):
     tables = crm(spark, deals=[deal(1, Amount="100"), deal(2, Amount="50", Deal_Stage="closedwon"), deal(3, Amount=None)])
     rows = [("stale_deals", DEALS, "1", 3, 95, None, 100.0), ("duplicate_contacts", CONTACTS, "1", 3)]
     got = scoring.cost_summary(scoring.price_findings(findings(spark, rows)), tables.deals).first()
+    assert scoring.cost_of_findings(findings(spark, rows), tables.deals).first() == got
     assert (got.remediation_hours, got.direct_cost_usd, got.at_risk_pipeline_usd, got.total_open_pipeline_usd) == (
         0.5, 37.5, 75.0, 100.0)
     assert (got.at_risk_share, got.value_at_stake_usd) == (0.75, 112.5)
@@ -112,7 +114,7 @@ def test_totals(spark):
 
 def test_hours_round_exact_ties_to_even(spark):
     rows = [("duplicate_contacts", CONTACTS, str(i), 3) for i in range(33)]
-    (item,) = scoring.remediation_items(scoring.price_findings(findings(spark, rows))).collect()
+    (item,) = scoring.remediation_items(scoring.summary_rows(findings(spark, rows)), ["duplicate_contacts"]).collect()
     assert (item.records, item.hours_to_fix, item.cost_usd) == (33, 8.2, 618.75)
 
 
@@ -145,7 +147,7 @@ def test_list_order_and_example(spark):
     found = findings(spark, rows)
     names = {"stale_deals": "Stale Deals", "own_check": "Mine"}
     totals = scoring.score_totals(found, counts(spark, contacts=20, deals=1), sorted({r[0] for r in rows}))
-    items = scoring.punch_list(scoring.price_findings(found), totals, names).collect()
+    items = scoring.punch_list(scoring.summary_rows(found), totals, names).collect()
     assert [i.priority_check for i in items] == ["stale_deals", "missing_fields_contacts", "duplicate_contacts", "own_check"]
     assert items[1].issue == "Missing Fields Contacts" and items[3].issue == "Mine"
     assert (items[1].records, items[1].severity, items[1].example) == (3, "High", "missing_fields_contacts 8")
@@ -160,3 +162,21 @@ def test_exposure_owner_does_not_depend_on_partitions(spark):
         for n in (1, 3, 7, 13)
     }
     assert len(owners) == 1 and len(owners.pop()) == 2
+
+
+def test_exposure_rank_orders_like_the_numbers(spark):
+    rnd = random.Random(5)
+    values = [rnd.choice([0.25, 0.5, 0.75]) * rnd.choice([rnd.random(), rnd.uniform(1, 1e9), 2.0 ** rnd.randrange(-60, 60)]) for _ in range(2000)]
+    values += [b for k in range(-20, 60) for b in (2.0**k, math.nextafter(2.0**k, 0), math.nextafter(2.0**k, math.inf))]
+    rows = findings(spark, [("stale_deals", DEALS, "1", 3, 95, None, 1.0)]).crossJoin(
+        spark.createDataFrame([(v,) for v in values], "v double"))
+    got = rows.select("v", scoring._exposure_rank(F.col("v"), CostAssumptions()).alias("r")).collect()
+    ranks = dict((r.v, r.r) for r in got)
+    ordered = sorted(ranks)
+    assert all(ranks[a] < ranks[b] for a, b in zip(ordered, ordered[1:]))
+
+
+def test_pricing_has_no_window_and_combines_in_hash_maps(spark):
+    rows = [("stale_deals", DEALS, str(i % 9), 3, 95, None, 10.0 * i) for i in range(50)]
+    plan = scoring.price_findings(findings(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
