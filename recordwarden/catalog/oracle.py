@@ -222,7 +222,7 @@ findings AS (
     'Open deal' || {_AMOUNT} || ' should have closed ' || days || ' days ago. Set a new date or close it.' AS message,
     days AS days_overdue, amount, deal_name
   FROM (SELECT *, datesub('day', close_date, d) AS days FROM deals, as_of) WHERE is_open AND days > 0),
-labeled AS (
+labeled AS MATERIALIZED (
   SELECT *, CASE sev WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS severity FROM findings)"""
 
 _PRICED = f"""
@@ -239,7 +239,7 @@ neglected AS (
       WHEN days >= 30 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS factor
     FROM (SELECT record_id, check_id, amount, coalesce(days_inactive, days_overdue) AS days FROM labeled
       WHERE check_id IN ('stale_deals', 'past_close_date')))),
-exposure AS (
+exposure AS MATERIALIZED (
   SELECT record_id, check_id, days, factor, amount,
     CASE WHEN rn = 1 AND amount IS NOT NULL AND factor > 0 THEN {_round("amount * factor", 2)} ELSE 0.0::DOUBLE END AS at_risk_usd
   FROM neglected),
@@ -247,7 +247,7 @@ priced AS (
   SELECT l.*, CAST(coalesce(r.minutes, 5) AS DOUBLE) AS minutes, coalesce(r.minutes, 5) * 1.25::DOUBLE AS cost,
     coalesce(x.at_risk_usd, 0.0::DOUBLE) AS at_risk_usd
   FROM labeled l LEFT JOIN rates r ON r.check_id = l.check_id AND r.sev = l.sev
-    LEFT JOIN exposure x ON l.object_type = 'deals' AND x.record_id = l.record_id AND x.check_id = l.check_id)"""
+    LEFT JOIN exposure x ON x.record_id = l.record_id AND x.check_id = l.check_id)"""
 
 
 def _totals(only_deals: bool = False) -> str:
@@ -338,6 +338,7 @@ _ROUTED = """SELECT record_id, message, owner, owner_region, record_country, rec
   FROM labeled WHERE check_id = 'routing_{}'"""
 _FLAT = """SELECT check_id, object_type, record_id, severity, CAST(sev AS INTEGER) AS severity_rank, message, field,
   {cost} AS revenue_impact_usd, coalesce(master, '') AS related_record_ids, {risk} AS at_risk_usd"""
+_POSITION = ", row_number() OVER (ORDER BY sev DESC, check_id, record_id, ord, message) AS position"
 _EMAIL_FIX = """SELECT record_id AS "Record ID", lower(trim(email_raw)) AS "Email" FROM contacts
   WHERE trim(email_raw) <> '' AND {} <> lower(trim(email_raw))
     AND record_id NOT IN (SELECT record_id FROM contact_clusters)"""
@@ -455,7 +456,7 @@ def all_sql() -> dict[str, str]:
             CAST(threshold AS INTEGER) AS threshold_days, amount FROM labeled WHERE check_id = 'stale_deals'"""),
         "past_close_date": _found("""SELECT record_id, message, CAST(days_overdue AS INTEGER) AS days_overdue, amount
             FROM labeled WHERE check_id = 'past_close_date'"""),
-        "all_findings": _money(_FLAT.format(cost="cost", risk="at_risk_usd") + " FROM priced"),
+        "all_findings": _money(_FLAT.format(cost="cost", risk="at_risk_usd") + _POSITION + " FROM priced"),
         "selected_findings": _found(
             _FLAT.format(cost="0.0::DOUBLE", risk="0.0::DOUBLE")
             + " FROM labeled WHERE sev = 3 AND check_id IN ('email_deliverability', 'stale_deals')"),
@@ -517,7 +518,7 @@ def all_sql() -> dict[str, str]:
             FROM ({" UNION ALL ".join(
                 f"SELECT {i} AS i, '{name}' AS filename, count(*) AS rows FROM ({body})"
                 for i, (name, body) in enumerate(_FIX_TABLES))}) WHERE rows > 0"""),
-        "findings_file": _money(_FLAT.format(cost="cost", risk="at_risk_usd") + " FROM priced"),
+        "findings_file": _money(_FLAT.format(cost="cost", risk="at_risk_usd") + _POSITION + " FROM priced"),
         "report_summary": _sql(
             f"""SELECT headline, score AS overall, grade, clean_records, affected_records, remediation_hours,
               direct_cost_usd, at_risk_pipeline_usd, findings_total, high_findings, medium_findings, low_findings,

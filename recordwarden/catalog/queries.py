@@ -27,7 +27,7 @@ from ..plans.audit import CHECK_NAMES, run_checks
 from ..plans.correction_bundle import candidate_tables, row_counts, write_corrections
 from ..plans.report import build_report, headline_columns, narrow_numbers
 from ..sources.csv_tables import latest_activity, load_crm, read_export
-from ..sources.staging import staged, staging_path
+from ..sources.staging import numbered, staging_path
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -383,8 +383,8 @@ def past_close_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every finding, priced, in report order."""
-    return flatten(_priced(spark, sf_dir).orderBy(*report_order()))
+    """Every finding, priced, with its position in the report."""
+    return flatten(numbered(_priced(spark, sf_dir), report_order(), "findings_table"))
 
 
 @register
@@ -526,11 +526,12 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def findings_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every priced finding, written as ordered CSV and read back."""
+    """Every priced finding with its position, written as ordered CSV and read back."""
     report = build_report(b.crm(spark, sf_dir), b.policy())
     path = staging_path(spark, "findings_file")
-    report.write_findings(path)
-    found = spark.read.schema(flatten(report.findings).schema).option("header", True).option("escape", '"').csv(path)
+    report.write_findings(path, positions=True)
+    schema = f"position long, {', '.join(f'{n} {t}' for n, t in flatten(report.findings).dtypes)}"
+    found = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     return found.fillna("", ["field", "related_record_ids"])
 
 

@@ -97,13 +97,15 @@ def filter_findings(
 
 
 def report_order() -> list[Column]:
-    return [F.desc("severity_rank"), F.asc("check_id"), F.asc("record_id"), F.asc("emit_order")]
+    """The order of the report; findings of repeated ids follow their message."""
+    return [F.desc("severity_rank"), F.asc("check_id"), F.asc("record_id"), F.asc("emit_order"), F.asc("message")]
 
 
 def flatten(findings: DataFrame) -> DataFrame:
-    """Display columns of a findings table; exposure is 0 where not priced yet."""
+    """Display columns of a findings table; exposure is 0 where not priced yet, a position stays."""
     at_risk = F.col("at_risk_usd") if "at_risk_usd" in findings.columns else F.lit(0.0)
     return findings.select(
+        *[c for c in findings.columns if c == "position"],
         "check_id",
         "object_type",
         "record_id",

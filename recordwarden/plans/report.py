@@ -17,7 +17,7 @@ from ..operators.findings import flatten, report_order, severity_counts
 from ..operators.scoring import (
     OVERALL, cost_of_findings, health_score, price_findings, punch_list, score_totals, summary_rows, top_item,
 )
-from ..sources.staging import staged, with_places
+from ..sources.staging import numbered, staged, with_places
 from ..sources.writers import write_csv, write_json
 from .audit import CHECK_NAMES, CustomCheck, run_checks
 
@@ -78,7 +78,8 @@ class Report:
         return self.priced()
 
     def findings_table(self) -> DataFrame:
-        return flatten(self.findings.orderBy(*report_order()))
+        """Every finding with its position in the report."""
+        return flatten(numbered(self.findings, report_order(), "findings_table"))
 
     def start_here(self) -> DataFrame:
         return top_item(self.items)
@@ -132,10 +133,13 @@ class Report:
             ).alias("assumptions"),
         )
 
-    def write_findings(self, path: str, filtered: DataFrame | None = None) -> None:
-        """The findings (or a selection from `filter_findings`) as ordered CSV."""
+    def write_findings(self, path: str, filtered: DataFrame | None = None, positions: bool = False) -> None:
+        """The findings (or a selection from `filter_findings`) as ordered CSV, also with their positions."""
         chosen = self.findings if filtered is None else filtered
-        write_csv(flatten(chosen.orderBy(*report_order())), path)
+        if positions:
+            write_csv(flatten(numbered(chosen, report_order(), "findings_table")), path, [F.asc("position")])
+        else:
+            write_csv(flatten(chosen.orderBy(*report_order())), path)
 
     def write_summary(self, path: str) -> None:
         write_json(self.summary(), path)

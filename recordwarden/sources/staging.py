@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLACE = "_place"
@@ -35,6 +36,26 @@ def with_places(df: DataFrame, name: str) -> DataFrame:
     return staged(df, name).withColumn(PLACE, F.xxhash64("_metadata.file_name", "_metadata.row_index"))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str, column: str = "position") -> DataFrame:
+    """`df` with the place of every row in the given order, from 1 without gaps, in `column`.
+
+    The sorted rows are written once, one file per range of the order. A row's place is its
+    position in its file plus the rows of all earlier files, so no task holds more than a range.
+    Rows that are equal in `order` have places next to each other, the same in every later read.
+    """
+    rows = staged(df.orderBy(*order), name).withColumns({
+        "_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index"),
+    })
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
+    # One row per written file reaches this window.
+    earlier = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    place = (F.col("_before") + F.col("_row") + 1).cast("long").alias(column)
+    return rows.join(offsets, "_file").select(place, *df.columns)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
