@@ -15,6 +15,7 @@ from ..model import (
     DATE_COLUMNS, HEADER_ALIASES, NUMBER_COLUMNS, OBJECT_TYPES, RAW_COPIES, CrmTables,
     column_type, table_schema, union_all,
 )
+from .csv_records import has_line_breaks, read_records
 
 _CORRUPT = "_unparsed_row"
 
@@ -89,20 +90,23 @@ def read_export(
 ) -> DataFrame:
     """Read a CSV file or directory and conform it.
 
-    `multi_line` accepts line breaks inside quotes but reads each file in one
-    task; turn it off for large exports so that files are split. `check_rows`
-    fails on rows with more cells than the header and, without `multi_line`, on
-    rows that go on in the next line; turning it off lets the parser skip unused
-    columns and saves a pass over the file. All files must share one header,
-    which Spark verifies per file.
+    `multi_line` accepts line breaks inside quotes. A pass over the lines tells whether there are
+    any; if so, records are put together from lines by many tasks, else every line is a record.
+    Without `multi_line` such a line break stops the read, if rows are checked. `check_rows` fails on
+    rows with more cells than the header; turning both off saves the pass and lets the parser skip
+    unused columns. All files must share one header, which is verified per file.
     """
-    if check_rows and not multi_line:
-        _fail_on_open_quotes(spark, path)
-    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8"}
-    first = spark.read.options(header=False, **options).csv(path).first()
+    broken = has_line_breaks(spark, path) if multi_line or check_rows else None
+    if broken is not None and not multi_line:
+        raise ValueError(f"line break inside quotes in {path}, read it with multi_line=True: {broken[:200]}")
+    options = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
+    # Only the first record is taken.
+    first = spark.read.options(header=False, multiLine=broken is not None, **options).csv(path).first()
     if first is None:
         raise ValueError(f"no header row in {path}")
     headers = ["" if h is None else h for h in first]
+    if broken is not None:
+        return conform(_parsed_records(spark, path, headers, check_rows), object_type, headers)
 
     distinct_names = {h.lower() for h in headers if h.strip()}
     as_written = len(distinct_names) == len(headers) and _CORRUPT not in distinct_names
@@ -135,13 +139,21 @@ def _fail_on_extra_cells(raw: DataFrame, names: list[str], path: str) -> DataFra
     return raw.where(checked).select(*[_quoted(n) for n in names])
 
 
-def _fail_on_open_quotes(spark: SparkSession, path: str) -> None:
-    """Read line by line, a row with a line break inside quotes would become two broken ones."""
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    broken = spark.read.text(path).where(quotes % 2 == 1).first()
-    if broken is not None:
-        raise ValueError(f"line break inside quotes in {path}, read it with multi_line=True: {broken.value[:200]}")
+def _parsed_records(spark: SparkSession, path: str, headers: list[str], check_rows: bool) -> DataFrame:
+    """The cells `_c0`, `_c1` and so on of every record but the headers."""
+    names = [f"_c{i}" for i in range(len(headers))]
+    cells = ", ".join(f"{n} STRING" for n in [*names, "surplus"])
+    parsed = F.from_csv("record", cells, {"quote": '"', "escape": '"'})
+    other = F.lit(False)
+    for name, header in zip(names, headers):
+        other = other | (F.coalesce(F.regexp_replace(F.col(f"row.{name}"), "^\\uFEFF", ""), F.lit("")) != header)
+    differs = F.raise_error(F.concat(F.lit("another header in "), "file", F.lit(": "), "record")).cast("boolean")
+    keep = F.when(F.col("is_header"), F.when(other, differs).otherwise(F.lit(False))).otherwise(F.lit(True))
+    if check_rows:
+        message = F.concat(F.lit("row with more cells than the header in "), "file", F.lit(": "), "record")
+        keep = F.when(~F.col("is_header") & F.col("row.surplus").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(keep)
+    records = read_records(spark, path).withColumn("row", parsed)
+    return records.where(keep).select(*[f"row.{n}" for n in names])
 
 
 def empty_table(spark: SparkSession, object_type: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 
 from recordwarden import load_crm
 from recordwarden.model import COMPANIES, CONTACTS, DEALS, HEADER_ALIASES
+from recordwarden.sources.csv_records import _lines, read_records
 from recordwarden.sources.csv_tables import read_export, resolve_headers
 
 
@@ -127,3 +129,84 @@ def test_line_breaks_in_quotes_need_multi_line(spark, tmp_path):
     assert read_export(spark, path, CONTACTS).count() == 2
     with pytest.raises(ValueError, match="line break inside quotes"):
         read_export(spark, path, CONTACTS, multi_line=False)
+
+
+def _plain_records(text):
+    """A CSV text record by record, character by character."""
+    records, start, at, quoted, first = [], 0, 0, False, True
+    while at < len(text):
+        c = text[at]
+        if quoted:
+            if c == '"' and text[at + 1:at + 2] == '"':
+                at += 1
+            elif c == '"':
+                quoted = False
+        elif c == '"' and first:
+            quoted = True
+        elif c == "\n":
+            records.append(text[start:at])
+            start = at + 1
+        first = not quoted and c in ",\n"
+        at += 1
+    records.append(text[start:])
+    return [r for r in (r.removesuffix("\r") for r in records) if r.strip()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_equal_a_plain_reader_however_files_are_split(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    cells = ["plain", "", '5" pipe', 'a "b" c', '"q"', '"two\nlines"', '"he said ""no"",\nthen\n\nleft"', '"crlf\r\nin"', '"end\n"', "x y", '"a,b"', '""', '"""\n"""']
+    want = []
+    for name in ("a.csv", "b.csv"):
+        rows = [",".join(rnd.choice(cells) for _ in range(3)) for _ in range(120)]
+        text = "h1,h2,h3" + "".join(rnd.choice(["\n", "\r\n", "\n\n"]) + r for r in rows)
+        (tmp_path / name).write_bytes(text.encode())
+        want += _plain_records(text)
+    for size in ("128m", "64b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = read_records(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(r.record for r in found) == sorted(want)
+        assert [r.record for r in found if r.is_header] == ["h1,h2,h3"] * 2
+
+
+def test_default_read_keeps_line_breaks_and_lone_quotes(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text('Record ID,Last Name,Job Title,Email\n1,"O""Neil","Buyer\n\nand, seller",a@b.com\n2,5" pipe,x\n3,Lee,"y",c@d.com\n')
+    got = {r.record_id: (r.last_name, r.job_title, r.email) for r in read_export(spark, str(path), CONTACTS).collect()}
+    assert got == {"1": ('O"Neil', "Buyer\n\nand, seller", "a@b.com"), "2": ('5" pipe', "x", None), "3": ("Lee", "y", "c@d.com")}
+    lone = tmp_path / "lone.csv"
+    lone.write_text('Record ID,Last Name\n1,5" pipe\n2,Lee\n')
+    assert [r.last_name for r in read_export(spark, str(lone), CONTACTS, multi_line=False).orderBy("record_id").collect()] == ['5" pipe', "Lee"]
+
+
+def test_records_that_cannot_be_read(spark, tmp_path):
+    def read(name, text, **options):
+        (tmp_path / name).write_text(text)
+        return read_export(spark, str(tmp_path / name), CONTACTS, **options).collect()
+
+    with pytest.raises(Exception, match="never closed"):
+        read("open.csv", 'Record ID,Last Name\n1,"a\nb"\n2,"c\n')
+    surplus = 'Record ID,Last Name\n1,"a\nb",c\n'
+    with pytest.raises(Exception, match="more cells than the header"):
+        read("long.csv", surplus)
+    assert [r.last_name for r in read("long.csv", surplus, check_rows=False)] == ["a\nb"]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text('Record ID,Last Name\n1,"a\nb"\n')
+    (tmp_path / "two" / "b.csv").write_text("Record ID,Email\n2,c\n")
+    with pytest.raises(Exception, match="another header"):
+        read_export(spark, str(tmp_path / "two"), CONTACTS).collect()
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("Record ID,Last Name\n" + "".join(f'{i},"name\n{i}"\n' for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        df = read_export(spark, str(path), CONTACTS)
+        assert df.count() == 5000 and df.where("last_name = 'name\\n77'").first().record_id == "77"
+        assert _lines(spark, str(path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
