@@ -373,13 +373,17 @@ _BLANK = "SELECT '{0}' AS column_name, count(*) FILTER (WHERE {1} IS NULL OR tri
 _TEXT_KEY = r"md5(nullif(lower(trim(text, E' \t\n\r')), ''))"
 
 
-def all_sql() -> dict[str, str]:
+def _queries() -> dict[str, str]:
     return {
         "csv_contacts": _sql(
             """SELECT record_id, CAST(NULL AS VARCHAR) AS first_name, last_name, email, CAST(NULL AS VARCHAR) AS phone,
               CAST(NULL AS VARCHAR) AS job_title, owner, lifecycle_stage, CAST(NULL AS VARCHAR) AS lead_status, country,
               CAST(NULL AS VARCHAR) AS associated_company_id, create_date, last_activity_date, email_raw, country_raw
             FROM contacts""", _TABLES),
+        "csv_multiline_contacts": _sql(
+            """SELECT record_id, last_name, CASE WHEN CAST(record_id AS INTEGER) % 7 < 3
+                THEN 'Buyer' || chr(10) || 'no. "' || record_id || '",' || chr(10) || chr(10) || 'and "more"' END AS job_title,
+              email, owner FROM contacts""", _TABLES),
         "conformed_companies": _sql(
             """SELECT record_id, company_name, domain, owner, industry, num_employees, country,
               CAST(NULL AS TIMESTAMP) AS create_date, CAST(NULL AS TIMESTAMP) AS last_activity_date, country_raw
@@ -428,6 +432,10 @@ def all_sql() -> dict[str, str]:
             UNION ALL SELECT 'missing_fields_documents', record_id, 'Medium', 'toxic' FROM d WHERE toxic IS NULL""",
         "decayed_contacts": _found("""SELECT record_id, severity, message, CAST(days_inactive AS INTEGER) AS days_inactive,
             CAST(threshold AS INTEGER) AS threshold_days FROM labeled WHERE check_id = 'decayed_contacts'"""),
+        "decayed_after_months": _sql("""SELECT record_id, 'Medium' AS severity, 'Silent for ' || days || ' days (about ' || (days // 30)
+              || ' months), longer than the 122 days allowed. Win back or suppress.' AS message,
+              CAST(days AS INTEGER) AS days_inactive, CAST(122 AS INTEGER) AS threshold_days
+            FROM (SELECT *, datesub('day', last_activity_date, d) AS days FROM contacts, as_of) WHERE days > 122""", _TABLES),
         "lapsed_buyers": """SELECT CAST(user_id AS VARCHAR) AS record_id, 'Medium' AS severity,
               'Silent for ' || days || ' days (about ' || (days // 30) || ' months), longer than the 3 days allowed. Win back or suppress.' AS message,
               CAST(days AS INTEGER) AS days_inactive, CAST(3 AS INTEGER) AS threshold_days
@@ -540,3 +548,32 @@ def all_sql() -> dict[str, str]:
         "deal_name_lookup": _found("""SELECT l.record_id, l.field, d.deal_name FROM labeled l LEFT JOIN deals d USING (record_id)
             WHERE check_id = 'missing_fields_deals'"""),
     }
+
+
+_FILES = {
+    "worklist_pipeline_review.csv": ("fix_deals", ["Record ID", "Deal Name", "Issue", "Days", "Decision (chase / re-date / close)"]),
+    "worklist_merge_duplicates.csv": (
+        "fix_merges", ["Object", "Merge This Record ID", "Into This Record ID", "Matched On", "Matched Value", "Done? (yes/no)"]),
+    "worklist_reassign_owners.csv": (
+        "fix_owners",
+        ["Object", "Record ID", "Current Owner", "Owner Covers", "Record Country", "Should Be Owned In", "New Owner (fill in)"]),
+    "import_contacts_email_normalized.csv": ("fix_email_case", ["Record ID", "Email"]),
+    "import_contacts_country_standardized.csv": ("fix_contact_countries", ["Record ID", "Country/Region"]),
+    "import_companies_country_standardized.csv": ("fix_company_countries", ["Record ID", "Country/Region"]),
+    "review_email_typos.csv": ("fix_email_typos", ["Record ID", "Current Email", "Suggested Email", "Confirmed? (yes/no)"]),
+    "template_contacts_missing_fields.csv": (
+        "fix_contact_fields", ["Record ID", "Country/Region", "Email", "Lifecycle Stage", "Contact owner"]),
+    "template_companies_missing_fields.csv": (
+        "fix_company_fields", ["Record ID", "Company Domain Name", "Industry", "Company owner"]),
+    "template_deals_missing_fields.csv": ("fix_deal_fields", ["Record ID", "Amount", "Close Date", "Deal owner"]),
+}
+
+
+def all_sql() -> dict[str, str]:
+    found = _queries()
+    cells = [
+        "SELECT '{}' AS filename, concat_ws('|', {}) AS cells FROM ({})".format(
+            file, ", ".join(f"coalesce(CAST(\"{c}\" AS VARCHAR), '')" for c in columns if c != "Amount"), found[query])
+        for file, (query, columns) in _FILES.items()
+    ]
+    return {**found, "correction_contents": " UNION ALL ".join(cells)}

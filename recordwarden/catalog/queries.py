@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RequiredField
+from ..config import RequiredField, make_config, months_to_days
 from ..functions import text
 from ..functions.values import days_between, timestamp_literal
 from ..model import (
@@ -87,6 +87,15 @@ def _spelled(table: DataFrame) -> DataFrame:
     })
 
 
+@register
+def csv_multiline_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts whose job titles hold line breaks, blank lines, quotes and commas, through the default read."""
+    number = F.col("`Record ID`")
+    title = F.concat(F.lit('Buyer\nno. "'), number, F.lit('",\n\nand "more"'))
+    table = b.contact_export(spark, sf_dir).withColumn("Job Title", F.when(number.cast("int") % 7 < 3, title))
+    return read_export(spark, _exported(table, "multiline"), CONTACTS).select("record_id", "last_name", "job_title", "email", "owner")
+
+
 @register
 def loaded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three tables as CSV text in mixed spellings, loaded, audited and sorted."""
@@ -279,6 +288,13 @@ def decayed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decay_columns(_findings(spark, sf_dir, "decayed_contacts"))
 
 
+@register
+def decayed_after_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts silent for longer than four months."""
+    config = make_config(decayed_contact_days=months_to_days(4))
+    return _decay_columns(run_checks(b.crm(spark, sf_dir), config, ["decayed_contacts"]))
+
+
 @register
 def lapsed_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose last purchase is more than three whole days before the last event."""
@@ -551,6 +567,20 @@ def correction_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(written, "filename")
 
 
+@register
+def correction_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of every correction file but amounts, as read back from the files."""
+    tables = b.crm(spark, sf_dir)
+    path = staging_path(spark, "corrections")
+    listed = write_corrections(tables, scoring.price_findings(run_checks(tables, b.policy())), path)
+    parts = []
+    for r in listed.select("filename").collect():  # at most ten
+        file = spark.read.option("header", True).option("escape", '"').csv(f"{path}/{r.filename}")
+        cells = [F.coalesce(f"`{c}`", F.lit("")) for c in file.columns if c not in ("Amount", "At Risk (USD)")]
+        parts.append(file.select(F.lit(r.filename).alias("filename"), F.concat_ws("|", *cells).alias("cells")))
+    return union_all(parts)
+
+
 # --- owners and filters ------------------------------------------------------
 
 @register

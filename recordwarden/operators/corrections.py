@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..model import COMPANIES, CONTACTS, DEALS
 from ..sources.atlas import canonical_countries, dimension
+from ..sources.staging import staged
 from .findings import of_checks
 
 # Export headers, so that a table can be imported again.
@@ -161,10 +162,15 @@ def missing_fields_seen(findings: DataFrame, object_type: str) -> list[str]:
 def missing_fields_template(
     findings: DataFrame, object_type: str, fields: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per record: empty where a value is needed, `n/a` where nothing is missing."""
+    """One row per record: empty where a value is needed, `n/a` where nothing is missing.
+
+    Without `fields` the columns are those that any record lacks. Record and field of every finding
+    are then written first, so that the checks run once for the columns and the rows.
+    """
+    missing = of_checks(findings, f"missing_fields_{object_type}").select("record_id", "field")
     if fields is None:
-        fields = missing_fields_seen(findings, object_type)
-    missing = of_checks(findings, f"missing_fields_{object_type}")
+        missing = staged(missing, "missing_fields")
+        fields = sorted(r.field for r in missing.select("field").distinct().collect() if r.field)  # columns of the policy
     needed = [F.max(F.when(F.col("field") == f, 1).otherwise(0)).alias(f"_{f}") for f in fields]
     return missing.groupBy("record_id").agg(F.count(F.lit(1)), *needed).select(
         F.col("record_id").alias(export_header(object_type, "record_id")),

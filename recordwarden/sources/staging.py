@@ -58,5 +58,9 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, column: str = "p
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that nothing reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    delete_folder(spark, path.rsplit("/", 1)[0])
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from recordwarden.catalog import bindings
+from recordwarden.plans.report import narrow_numbers
 from recordwarden.plans.audit import (
     CHECK_NAMES, company_findings, contact_findings, deal_findings, run_checks,
 )
@@ -47,3 +48,21 @@ def test_members_are_shuffled_once_for_both_uses(spark):
     df = entry_points.queries()["duplicate_contacts"](spark, SF_DIR)
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_number_queries_scan_each_source_once(spark):
+    """The checks run once; all numbers come from the narrow rows they wrote."""
+    numbers = narrow_numbers(bindings.crm(spark, SF_DIR), bindings.policy())
+    assert all("finding_numbers" in file for file in numbers["severities"].inputFiles())
+    assert "Generate explode" not in plan(numbers["items"]) and "Window" not in plan(numbers["items"])
+
+
+def test_ordered_findings_have_no_window_over_findings(spark):
+    df = entry_points.queries()["all_findings"](spark, SF_DIR)
+    for window in re.findall(r"Window \[.*", plan(df)):
+        assert "_n" in window and "message" not in window
+
+
+def test_templates_read_what_was_written(spark):
+    found = entry_points.queries()["fix_contact_fields"](spark, SF_DIR)
+    assert all("missing_fields" in file for file in found.inputFiles())
