@@ -100,12 +100,15 @@ def owner_regions_by_key(owner_regions: Mapping[str, str]) -> dict[str, str]:
     return {key: region for key, region in pairs if key and region}
 
 
-# A policy map beyond this many entries is joined without a broadcast hint.
-MAX_BROADCAST_ROWS = 100_000
-
-
 def dimension(spark: SparkSession, mapping: Mapping[str, str], key: str, value: str) -> DataFrame:
-    """A two-column lookup table, to be broadcast while its known size allows it."""
+    """A two-column lookup table that says how to join it, by its bytes.
+
+    Up to the session's `spark.sql.autoBroadcastJoinThreshold` it is broadcast. Spark itself would
+    take 20 bytes for a text of any length, so a larger one asks for a sort-merge join, whose hot
+    keys adaptive execution splits.
+    """
     columns = {key: list(mapping.keys()), value: list(mapping.values())}
-    frame = spark.createDataFrame(pa.table(columns, pa.schema([(c, pa.string()) for c in columns])))
-    return F.broadcast(frame) if len(mapping) <= MAX_BROADCAST_ROWS else frame
+    entries = pa.table(columns, pa.schema([(c, pa.string()) for c in columns]))
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    frame = spark.createDataFrame(entries)
+    return F.broadcast(frame) if entries.nbytes <= limit else frame.hint("merge")

@@ -12,8 +12,10 @@ PLACE = "_place"
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir, else one in the warehouse."""
+    """The shared folder the cluster names in spark.checkpoint.dir; in local mode one in the warehouse will do."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging").rstrip("/")
 
 
