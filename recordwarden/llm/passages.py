@@ -6,14 +6,16 @@ document with a smaller id; every word that a repeated window covers is removed.
 1. Documents with the same words are folded: all but the first lose every window, and need no text.
 2. Each window has an anchor, the short run of words in it with the lowest hash. Equal windows have
    equal anchors, so only windows whose anchor occurs in several documents can repeat.
-3. Hashes of those windows are reduced to the smallest document that holds them. That names the
-   reference documents and the passages of theirs that others repeat.
-4. The reference passages form shards. Each shard's suffix automata are sent to the tasks that hold
-   passages thought to repeat it; matching statistics of these decide, word by word, which windows
-   repeat. Maximal spans of such windows are removed.
-
-An automaton goes only where its document is repeated, so nothing is broadcast to all tasks. A
-reference that very many documents repeat is copied to several lanes.
+3. Hashes of those windows are reduced to the smallest document that holds them. That only nominates
+   references and the documents to hold against them; where they agree is left open.
+4. Whole references form shards of bounded size, with one suffix automaton each; a long reference is
+   cut into parts that overlap by a window less a word. Whole documents stream past the automata of
+   the shards they were nominated for. Matching statistics, with the earliest document that holds
+   each run, decide word by word which windows repeat. Maximal spans of such windows are removed.
+
+An automaton is sent to the tasks that hold its documents instead of to all: the automata grow with
+the corpus. A shard that very many documents visit is copied to several lanes. A task holds one
+automaton and one batch of documents.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,10 @@ from .common import staged, text_bytes
 
 WINDOW = 50
 ANCHOR = 8
-#: Words of repeated passages that are checked against one copy of their reference, and per task.
-LANE_WORDS, SHARD_WORDS = 200_000, 400_000
+#: Words of documents that stream past one copy of a shard, and of references in a shard or a part.
+LANE_WORDS, SHARD_WORDS, PART_WORDS = 1_000_000, 100_000, 50_000
 
+_NOBODY = float("inf")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -84,23 +86,28 @@ class WordHashes:
 
 
 class SuffixAutomaton:
-    """All runs of the words of some passages; a passage does not continue into the next."""
+    """All runs of the words of some texts, with the smallest owner of each; a text does not
+    continue into the next."""
 
     def __init__(self) -> None:
         self._next: list[dict] = [{}]
         self._link = [-1]
         self._length = [0]
-        self._last = 0
+        self._owner: list = [_NOBODY]
+        self._settled = True
 
-    def add(self, words: list) -> None:
-        self._last = 0
+    def add(self, words: list, owner: int = 0) -> None:
+        last = 0
         for word in words:
-            self._extend(word)
+            last = self._extend(last, word)
+            self._owner[last] = min(self._owner[last], owner)
+        self._settled = False
 
     def _state(self, length: int, following: dict, link: int) -> int:
         self._next.append(following)
         self._length.append(length)
         self._link.append(link)
+        self._owner.append(_NOBODY)
         return len(self._link) - 1
 
     def _split(self, above: int, word, below: int) -> int:
@@ -115,23 +122,36 @@ class SuffixAutomaton:
         link[below] = copy
         return copy
 
-    def _extend(self, word) -> None:
+    def _extend(self, last: int, word) -> int:
         nxt, link = self._next, self._link
-        above = self._last
+        above = last
         if word in nxt[above]:
-            self._last = self._split(above, word, nxt[above][word])
-            return
+            return self._split(above, word, nxt[above][word])
         state = self._state(self._length[above] + 1, {}, 0)
         while above >= 0 and word not in nxt[above]:
             nxt[above][word] = state
             above = link[above]
         if above >= 0:
             link[state] = self._split(above, word, nxt[above][word])
-        self._last = state
-
-    def matching_statistics(self, words: list) -> list[int]:
-        """For every word the length of the longest run ending there that the passages hold."""
-        nxt, link, length = self._next, self._link, self._length
+        return state
+
+    def _settle(self) -> None:
+        """Whoever holds a run holds its suffixes: hand owners up the links, longest runs first."""
+        link, owner = self._link, self._owner
+        for state in np.argsort(-np.array(self._length), kind="stable").tolist():
+            up = link[state]
+            if up >= 0 and owner[state] < owner[up]:
+                owner[up] = owner[state]
+        self._settled = True
+
+    def matching_statistics(self, words: list, longest: int, before: int | None = None) -> list[int]:
+        """For every word the length of the longest run ending there that the texts hold, up to `longest`.
+
+        With `before`, runs of that length count as one word shorter unless a smaller owner holds them.
+        """
+        if not self._settled:
+            self._settle()
+        nxt, link, length, owner = self._next, self._link, self._length, self._owner
         state = held = 0
         found = []
         for word in words:
@@ -141,7 +161,13 @@ class SuffixAutomaton:
             if word in nxt[state]:
                 state = nxt[state][word]
                 held += 1
-            found.append(held)
+                if held >= longest:
+                    # Forget earlier words, so that the state stands for the run of that length.
+                    held = longest
+                    while length[link[state]] >= longest:
+                        state = link[state]
+            late = before is not None and held == longest and owner[state] >= before
+            found.append(held - 1 if late else held)
         return found
 
 
@@ -187,26 +213,27 @@ def _scan(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _words_of(texts: DataFrame) -> DataFrame:
-    """(sha, doc_id, cid, line, anchors) of the rows whose words have the digest they were joined for."""
+    """(sha, doc_id, cid, n, line, anchors) of the rows whose words have the digest they were joined for."""
 
     def compute(batches):
         for batch in batches:
             rows = []
             for doc_id, text, sha, anchors in zip(*(c.to_pylist() for c in batch.columns)):
-                line = b" ".join(text.split())
+                words = text.split()
+                line = b" ".join(words)
                 if _sha(line) == sha:
-                    rows.append((sha, doc_id, int.from_bytes(sha[:8], "little", signed=True), line, anchors))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            columns = zip(*rows) if rows else [[]] * 5
+                    rows.append((sha, doc_id, int.from_bytes(sha[:8], "little", signed=True), len(words), line, anchors))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            columns = zip(*rows) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], ["sha", "doc_id", "cid", "line", "anchors"]
+                [pa.array(c, t) for c, t in zip(columns, kinds)], ["sha", "doc_id", "cid", "n", "line", "anchors"]
             )
 
-    return texts.mapInArrow(compute, "sha binary, doc_id long, cid long, line binary, anchors array<long>")
+    return texts.mapInArrow(compute, "sha binary, doc_id long, cid long, n long, line binary, anchors array<long>")
 
 
 def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(hash, doc_id, cid, pos) of the windows whose anchor several documents hold."""
+    """(hash, doc_id, cid) of the distinct windows whose anchor several documents hold."""
 
     def compute(batches):
         hashes = WordHashes()
@@ -214,57 +241,78 @@ def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
             for doc_id, cid, line, anchors in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes.load(line)
                 shared = np.isin(hashes.anchors(window, anchor), np.array(anchors, dtype=np.int64).view(np.uint64))
-                places = np.flatnonzero(shared)
+                found = np.unique(hashes.runs(window)[shared]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.runs(window)[places].view(np.int64)), pa.array(np.full(len(places), doc_id)),
-                     pa.array(np.full(len(places), cid)), pa.array(places.astype(np.int32))],
-                    ["hash", "doc_id", "cid", "pos"],
+                    [pa.array(found), pa.array(np.full(len(found), doc_id)), pa.array(np.full(len(found), cid))],
+                    ["hash", "doc_id", "cid"],
                 )
 
-    return texts.select("doc_id", "cid", "line", "anchors").mapInArrow(compute, "hash long, doc_id long, cid long, pos int")
+    return texts.select("doc_id", "cid", "line", "anchors").mapInArrow(compute, "hash long, doc_id long, cid long")
 
 
-def _passages(texts: DataFrame, window: int) -> DataFrame:
-    """(ref, is_ref, cid, start, n, line): runs of windows first held by document `ref`."""
+def _parts(references: DataFrame, window: int, size: int) -> DataFrame:
+    """(doc_id, cid, part, line): references in parts of `size` words, each window whole in one of them."""
 
     def compute(batches):
         for batch in batches:
-            rows = []
-            for doc_id, cid, line, places, owners in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, cid, line in zip(*(c.to_pylist() for c in batch.columns)):
                 words = line.split(b" ")
-                order = np.argsort(places, kind="stable")
-                places, owners = np.array(places)[order], np.array(owners)[order]
-                cuts = np.flatnonzero((np.diff(places) != 1) | (np.diff(owners) != 0)) + 1
-                for first, last in zip([0, *cuts], [*cuts - 1, len(places) - 1]):
-                    start, stop = int(places[first]), int(places[last]) + window
-                    rows.append((int(owners[first]), int(owners[first]) == doc_id, cid, start, stop - start, b" ".join(words[start:stop])))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            columns = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], ["ref", "is_ref", "cid", "start", "n", "line"]
-            )
+                lines = [b" ".join(words[a:a + size + window - 1]) for a in range(0, max(len(words) - window + 1, 1), size)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_id] * len(lines), pa.int64()), pa.array([cid] * len(lines), pa.int64()),
+                     pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.binary())],
+                    ["doc_id", "cid", "part", "line"],
+                )
 
-    return texts.select("doc_id", "cid", "line", "places", "owners").mapInArrow(
-        compute, "ref long, is_ref boolean, cid long, start int, n int, line binary"
-    )
+    return references.select("doc_id", "cid", "line").mapInArrow(compute, "doc_id long, cid long, part int, line binary")
 
 
-def _verify(window: int):
-    """(cid, start, stop): spans of the passages of a shard that its references hold."""
+def _streamed(rows: DataFrame, window: int) -> DataFrame:
+    """(cid, start, stop): spans of documents that earlier ones hold, from rows (shard, lane, visits,
+    doc_id, cid, line) sorted by the first three: the references of a shard, then its visitors."""
 
-    def compute(key: tuple, references: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        held = dict(tuple(references.groupby(["ref", "lane"])))
-        for name, group in repeats.groupby(["ref", "lane"]):
-            automaton = SuffixAutomaton()
-            for line in held[name].line:
-                automaton.add(line.split(b" "))
-            for cid, start, line in zip(group.cid, group.start, group.line):
-                for a, b in spans(automaton.matching_statistics(line.split(b" ")), window):
-                    rows.append((cid, start + a, start + b))
-        return pd.DataFrame(rows, columns=["cid", "start", "stop"]).astype({"cid": "int64", "start": "int32", "stop": "int32"})
+    def compute(batches):
+        at = automaton = None
+        for batch in batches:
+            found = []
+            for shard, lane, visits, doc_id, cid, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, lane) != at:
+                    at, automaton = (shard, lane), SuffixAutomaton()
+                words = line.split(b" ")
+                if visits:
+                    held = automaton.matching_statistics(words, window, before=doc_id)
+                    found += [(cid, *span) for span in spans(held, window)]
+                else:
+                    automaton.add(words, doc_id)
+            columns = zip(*found) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["cid", "start", "stop"]
+            )
 
-    return compute
+    return rows.mapInArrow(compute, "cid long, start int, stop int")
+
+
+def _repeated_spans(texts: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
+    """(cid, start, stop) of `texts` (doc_id, cid, n, line) held against the references of `pairs` (cid, ref)."""
+    named = pairs.select(F.col("ref").alias("doc_id")).distinct()
+    references = texts.join(named, "doc_id", "left_semi")
+    words = references.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-words // SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("cid", "part"), F.lit(shards)).alias("shard")
+    parts = staged(_parts(references, window, PART_WORDS).select(shard, "doc_id", "cid", "line"), "passages_parts")
+    held = parts.select(F.col("doc_id").alias("ref"), "shard").distinct()
+    visits = staged(pairs.join(held, "ref").select("cid", "shard").distinct(), "passages_visits")
+    load = visits.join(texts.select("cid", "n"), "cid").groupBy("shard").agg(F.sum("n").alias("n"))
+    lanes = load.select("shard", F.ceil(F.col("n") / LANE_WORDS).cast("int").alias("lanes"))
+    visitors = visits.join(lanes, "shard").join(texts.select("doc_id", "cid", "line"), "cid")
+    rows = (
+        parts.join(lanes, "shard").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+        .select("shard", "lane", F.lit(False).alias("visits"), "doc_id", "cid", "line")
+        .union(visitors.select(
+            "shard", F.pmod(F.xxhash64("cid"), F.col("lanes")).cast("int"), F.lit(True), "doc_id", "cid", "line",
+        ))
+    )
+    return _streamed(rows.repartition("shard", "lane").sortWithinPartitions("shard", "lane", "visits"), window)
 
 
 def _kept(texts: DataFrame) -> DataFrame:
@@ -311,22 +359,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     windows = staged(_windows(texts, window, anchor), "passages_windows")
     repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("b")).where("ref < b")
     repeated = staged(repeated.select("hash", "ref"), "passages_repeated")
-    runs = windows.join(repeated, "hash").groupBy("cid").agg(F.collect_list("pos").alias("places"), F.collect_list("ref").alias("owners"))
-    lines = texts.select("sha", "cid", "doc_id", "line")
-    passages = staged(_passages(lines.join(runs, "cid"), window), "passages_runs")
-
-    repeats = passages.where(~F.col("is_ref"))
-    load = repeats.groupBy("ref").agg(F.sum("n").alias("words")).select("ref", F.ceil(F.col("words") / LANE_WORDS).cast("int").alias("lanes"))
-    total = repeats.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("ref", "lane"), F.lit(shards)).alias("shard")
-    laned = repeats.join(load, "ref").withColumn("lane", F.pmod(F.xxhash64("cid"), F.col("lanes")).cast("int"))
-    references = passages.where("is_ref").join(load, "ref").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-    # New names on one side: both come from the same table.
-    held = references.select(shard, *[F.col(c).alias(c) for c in ("ref", "lane", "line")])
-    found = held.groupBy("shard").cogroup(
-        laned.select(shard, "ref", "lane", "cid", "start", "line").groupBy("shard")
-    ).applyInPandas(_verify(window), "cid long, start int, stop int")
+    pairs = staged(windows.join(repeated, "hash").where("ref < doc_id").select("cid", "ref").distinct(), "passages_pairs")
+    lines = texts.select("sha", "cid", "doc_id", "n", "line")
+    found = _repeated_spans(lines.drop("sha"), pairs, window)
     taken = found.groupBy("cid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     results = _kept(lines.join(taken, "cid")).dropDuplicates(["sha"])
 

@@ -40,7 +40,8 @@ def test_query(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_random_passages(spark, monkeypatch, seed):
-    monkeypatch.setattr(passages, "LANE_WORDS", 200)
+    for name, words in {"LANE_WORDS": 200, "SHARD_WORDS": 150, "PART_WORDS": 12}.items():
+        monkeypatch.setattr(passages, name, words)
     draw = np.random.default_rng(seed)
     common = [[f"c{draw.integers(0, 9)}" for _ in range(int(n))] for n in draw.integers(6, 60, 6)]
     rows = []
@@ -62,15 +63,37 @@ def test_odd_rows(spark):
     assert passages.remove_repeats(empty_documents(spark)).collect() == []
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), max_size=20), max_size=4), st.lists(st.integers(0, 4), max_size=30))
-def test_matching_statistics(held, words):
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 5), st.lists(st.integers(0, 3), max_size=20)), max_size=5),
+    st.lists(st.integers(0, 4), max_size=30), st.integers(1, 8), st.integers(0, 6),
+)
+def test_matching_statistics(held, words, longest, before):
     automaton = passages.SuffixAutomaton()
-    for passage in held:
-        automaton.add(passage)
-    runs = {tuple(p[i:j]) for p in held for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
-    want = [max((n for n in range(e + 2) if n == 0 or tuple(words[e + 1 - n:e + 1]) in runs)) for e in range(len(words))]
-    assert automaton.matching_statistics(words) == want
+    owners = {}
+    for owner, text in held:
+        automaton.add(text, owner)
+        for i in range(len(text)):
+            for j in range(i + 1, len(text) + 1):
+                run = tuple(text[i:j])
+                owners[run] = min(owners.get(run, owner), owner)
+    for limit in (longest, 100):
+        runs = [max(n for n in range(min(e + 1, limit) + 1) if n == 0 or tuple(words[e + 1 - n:e + 1]) in owners) for e in range(len(words))]
+        assert automaton.matching_statistics(words, limit) == runs
+        earlier = [
+            n - 1 if n == limit and owners[tuple(words[e + 1 - n:e + 1])] >= before else n for e, n in enumerate(runs)
+        ]
+        assert automaton.matching_statistics(words, limit, before) == earlier
+
+
+def test_long_monotonous_texts(spark, monkeypatch):
+    """Every window is the same one: linear work, parts of one reference in several shards."""
+    monkeypatch.setattr(passages, "PART_WORDS", 5_000)
+    monkeypatch.setattr(passages, "SHARD_WORDS", 9_000)
+    rows = [(1, "la " * 40_000), (2, "x " + "la " * 30_000 + "y"), (3, "la " * 49 + "z"), (2, "la " * 60), (4, "la " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, 40_000): 0, (2, 30_002): 30_000, (3, 50): 0, (2, 60): 60, (4, 40_000): 40_000}
+    assert {(i, n): gone for i, n, gone, _ in found(passages.remove_repeats(docs))} == want
 
 
 def test_spans_merge():
