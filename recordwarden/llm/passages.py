@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_bytes
@@ -34,6 +34,9 @@ ANCHOR = 8
 #: Words of documents that stream past one copy of a shard, and of references in a shard or a part.
 LANE_WORDS, SHARD_WORDS, PART_WORDS = 1_000_000, 100_000, 50_000
 
+#: Tasks that copies of one text are dealt to: one bit of a long each.
+COPY_LANES = 64
+
 _NOBODY = float("inf")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -183,6 +186,10 @@ def spans(statistics: list[int], window: int) -> list[tuple[int, int]]:
     return found
 
 
+def _lane() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(COPY_LANES)).cast("int")
+
+
 def _sha(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
@@ -347,7 +354,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     scanned = staged(_scan(source, window, anchor), "passages_scan")
     named = scanned.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    classes = staged(named.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "passages_classes")
+    # Copies of one text are dealt to lanes by their id; bits say which lanes a text uses.
+    used = F.bit_or(F.expr("shiftleft(1L, lane)")).alias("lanes")
+    laned = named.withColumn("lane", _lane()).groupBy("sha").agg(F.min("doc_id").alias("doc_id"), used)
+    classes = staged(laned, "passages_classes")
 
     anchors = named.join(classes, ["sha", "doc_id"]).select("sha", "doc_id", F.explode("anchors").alias("anchor"))
     # Written, so that both sides of the join come from plain exchanges and a hot anchor can be split.
@@ -366,7 +376,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     results = _kept(lines.join(taken, "cid")).dropDuplicates(["sha"])
 
     held = classes.join(results, "sha", "left").withColumnsRenamed({"sha": "s", "doc_id": "first"})
-    rows = scanned.select("doc_id", "n_words", "sha").join(held, F.col("sha") == F.col("s"), "left")
+    held = held.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(COPY_LANES - 1)))).where("(shiftright(lanes, l) & 1L) = 1L")
+    rows = scanned.select("doc_id", "n_words", "sha", _lane().alias("lane")).join(
+        held.drop("lanes"), (F.col("sha") == F.col("s")) & (F.col("lane") == F.col("l")), "left"
+    )
     copy = F.col("doc_id") > F.col("first")
     changed = (F.col("doc_id") == F.col("first")) & F.col("kept").isNotNull()
     return rows.select(

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_bucket, staged, text_bytes, with_running_total
+from .common import order_bucket, section_bits, staged, text_bytes, with_running_total
 
+#: Rows that share a shard, or an id, are counted in sections of about so many.
+SECTION_ROWS = 1 << 20
 STEP = np.uint64(2862933555777941757)
 
 
@@ -37,13 +39,14 @@ def jump_shard(key: Column, shards: int) -> Column:
     return place(key)
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, bits: int = 8) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, section_rows: int = SECTION_ROWS) -> DataFrame:
     """Shard, slot within it, and the shard if there were one more, for every row of `docs`.
 
     The doc_id and the number of shards decide; rows that share a doc_id share a shard, and rows
     without one all go where the hash of null leads. A null text counts as empty. Slots are gapless
-    from 0 and follow the hash of the doc_id, then size and checksum; they are counted in 2^bits
-    sections per shard, so no task holds a whole shard. Only doc_id and text are read.
+    from 0 and follow a hash of doc_id, size and checksum; they are counted in sections of about
+    `section_rows` rows, so no task holds a whole shard, and rows that share a doc_id are counted
+    by many tasks unless their texts are equal too. Only doc_id and text are read.
     """
     body = text_bytes()
     rows = docs.select(
@@ -54,11 +57,12 @@ def assign_shards(docs: DataFrame, shards: int = 40, bits: int = 8) -> DataFrame
     placed = rows.withColumns({
         "shard": jump_shard(F.col("key"), shards),
         "grown_shard": jump_shard(F.col("key"), shards + 1),
-        "section": order_bucket(F.xxhash64("key"), bits),
-        "place": F.xxhash64("key"),
+        "place": F.xxhash64("key", "size", "text_crc32"),
     })
+    written = staged(placed, "shards")
+    sections = order_bucket(F.col("place"), section_bits(written.count(), section_rows))
     counted = with_running_total(
-        staged(placed, "shards"), ["shard"], "section", ["place", "doc_id", "size", "text_crc32"], F.lit(1), "slot"
+        written.withColumn("section", sections), ["shard"], "section", ["place", "doc_id", "size", "text_crc32"], F.lit(1), "slot"
     )
     return counted.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -222,13 +223,14 @@ def test_shard_query(spark):
     for r in found:
         body = docs.text[r.doc_id].encode()
         assert (r.size, r.text_crc32, r.law) == (len(body) + 16, zlib.crc32(body), "key")
-        assert r.grown_shard in (r.shard, 40)
+        key = xxhash.xxh64(r.doc_id.to_bytes(8, "little"), seed=42).intdigest()
+        assert (r.shard, r.grown_shard) == (plain_jump(key, 40), plain_jump(key, 41))
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
 
 
 def test_shard_odd_rows(spark):
-    found = shards.assign_shards(odd_documents(spark), 4, bits=2).collect()
+    found = shards.assign_shards(odd_documents(spark), 4, section_rows=1).collect()
     assert len(found) == len(ODD_TEXTS)
     slots, of = {}, {}
     for r in found:
@@ -238,3 +240,15 @@ def test_shard_odd_rows(spark):
     assert all(len(s) == 1 for s in of.values())
     assert [r.size for r in found if r.doc_id == 2] == [16]
     assert shards.assign_shards(empty_documents(spark)).collect() == []
+
+
+def test_one_id_on_a_third_of_all_rows(spark):
+    rows = [(7 if i % 3 == 0 else i, f"text {i}") for i in range(6000)] + [(7, "same")] * 5
+    found = shards.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 3, section_rows=4).collect()
+    assert len(found) == len(rows) and len({r.shard for r in found if r.doc_id == 7}) == 1
+    for shard in range(3):
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    # The rows of the hot id are spread over the shard, so many sections count them.
+    hot = [r.slot for r in found if r.doc_id == 7]
+    assert max(hot) - min(hot) > 1.2 * len(hot)

@@ -58,6 +58,12 @@ def test_random_passages(spark, monkeypatch, seed):
     assert found(passages.remove_repeats(docs, window=10, anchor=3)) == plain(rows, 10)
 
 
+def test_copies_of_one_text_are_dealt_to_lanes(spark):
+    rows = [(i, "one two three four five" if i % 3 else f"w{i} two three four five six") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(passages.remove_repeats(docs, window=3, anchor=2)) == plain(rows, 3)
+
+
 def test_odd_rows(spark):
     assert found(passages.remove_repeats(odd_documents(spark), window=2)) == plain(ODD_TEXTS, 2)
     assert passages.remove_repeats(empty_documents(spark)).collect() == []
