@@ -132,3 +132,68 @@ def test_recall_rule():
     tables = near_vectors.make_tables(10**6, 8, 0.9, 0.95)
     hit = near_vectors.collision(np.sqrt(0.2), 2.0) ** tables.concatenated
     assert 1 - (1 - hit) ** tables.count >= 0.95
+
+
+# --- the width of the search ---------------------------------------------------
+
+def plain_needs(trees, x, query, most):
+    """Rows that the walk of one query has to hold before it reaches each of its nearest."""
+    sizes = [np.bincount(neighbours.route(t, x), minlength=t.leaves) for t in trees]
+    first = {}
+    for tree, leaf, before in neighbours.leaves_in_order(trees, sizes, x[query]):
+        for i in np.flatnonzero(neighbours.route(trees[tree], x) == leaf):
+            first.setdefault(int(i), before)
+    near = sorted((i for i in range(len(x)) if i != query), key=lambda i: (-(x[i] @ x[query]), i))[:most]
+    return [first[i] for i in near]
+
+
+def test_walk_reaches_every_leaf_once_and_stops_when_it_holds_enough():
+    x = unit(np.random.default_rng(5), 400, 8)
+    draw = np.random.default_rng(6)
+    trees = [neighbours.grow_tree(x, 16, draw) for _ in range(3)]
+    sizes = [np.bincount(neighbours.route(t, x), minlength=t.leaves) for t in trees]
+    order = list(neighbours.leaves_in_order(trees, sizes, x[0]))
+    assert len({(k, leaf) for k, leaf, _ in order}) == len(order) == sum(t.leaves for t in trees)
+    assert [before for *_, before in order] == np.cumsum([0, *[sizes[k][leaf] for k, leaf, _ in order]])[:-1].tolist()
+    some = neighbours.walk(trees, sizes, x[0], 100)
+    held = sum(sizes[k][leaf] for k, leaf in some)
+    assert held >= 100 > held - sizes[some[-1][0]][some[-1][1]]
+    assert neighbours.walk(trees, sizes, x[0], 0) == []
+
+
+def clustered(draw, clusters, each, dim):
+    centres = unit(draw, clusters, dim)
+    x = np.repeat(centres, each, 0) + 0.05 * draw.normal(size=(clusters * each, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("rows", [600, 3000, 9000])
+def test_vectors_with_structure_need_a_small_part_of_the_search(spark, monkeypatch, rows):
+    x = clustered(np.random.default_rng(rows), rows // 30, 30, 32)
+    source = embeddings(spark, [(i, v.tolist(), 0, "", 0) for i, v in enumerate(x)])
+    widths = []
+    measured = neighbours.enough_rows
+    monkeypatch.setattr(neighbours, "enough_rows", lambda *a: widths.append(measured(*a)) or widths[-1])
+    found = neighbours.nearest(source, "vec_id % 20 = 0", k=10, leaf_sample=24, tried=64).collect()
+    assert recall(found, list(range(rows)), x.astype(float), 10) >= 0.95
+    assert 0 < widths[0] < 0.5 * rows
+
+
+def test_width_is_the_least_that_the_tried_queries_need(spark, monkeypatch):
+    x = unit(np.random.default_rng(8), 500, 16)
+    source = embeddings(spark, [(i, v.tolist(), 0, "", 0) for i, v in enumerate(x)])
+    seen = {}
+    measured = neighbours.enough_rows
+
+    def watched(classes, index, asking, trees, sizes, greatest, *rest):
+        seen.update(trees=trees, greatest=greatest, width=measured(classes, index, asking, trees, sizes, greatest, *rest))
+        return seen["width"]
+
+    monkeypatch.setattr(neighbours, "enough_rows", watched)
+    monkeypatch.setattr(neighbours, "CELL_QUERIES", 3)  # several blocks of queries for a shard
+    found = neighbours.nearest(source, "vec_id % 20 = 0", k=5, recall=0.9, leaf_sample=20).collect()
+    exact_x = np.asarray(x, dtype=np.float32).astype(float)
+    lifted = neighbours.lift(exact_x, seen["greatest"])
+    needs = sorted(n for q in range(0, 500, 20) for n in plain_needs(seen["trees"], lifted, q, 5))
+    assert abs(np.mean(np.array(needs) < seen["width"]) - 0.9) <= 0.02
+    assert 0.88 <= recall(found, list(range(500)), exact_x, 5) < 1
