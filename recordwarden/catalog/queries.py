@@ -17,7 +17,7 @@ from ..model import (
 from ..operators import corrections, owners, scoring
 from ..operators.duplicates import MatchPass, duplicate_members
 from ..operators.findings import (
-    Rule, emit, facets, filter_findings, flatten, of_checks, report_order, severity_counts,
+    Rule, emit, facets, filter_findings, flatten, of_checks, report_order, severity_counts, with_positions,
 )
 from ..operators.row_checks import (
     deliverability_rules, inactivity_rules, missing_field_rules, routing_rules, with_ages,
@@ -27,7 +27,7 @@ from ..plans.audit import CHECK_NAMES, run_checks
 from ..plans.correction_bundle import candidate_tables, row_counts, write_corrections
 from ..plans.report import build_report, headline_columns, narrow_numbers
 from ..sources.csv_tables import latest_activity, load_crm, read_export
-from ..sources.staging import numbered, staging_path
+from ..sources.staging import staging_path
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,7 +400,7 @@ def past_close_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding, priced, with its position in the report."""
-    return flatten(numbered(_priced(spark, sf_dir), report_order(), "findings_table"))
+    return with_positions(_priced(spark, sf_dir))
 
 
 @register

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import round_exact
 from ..model import DETAIL_TYPES, detail_struct, severity_label
+from ..sources.staging import numbered
 
 
 @dataclass(frozen=True)
@@ -101,11 +102,10 @@ def report_order() -> list[Column]:
     return [F.desc("severity_rank"), F.asc("check_id"), F.asc("record_id"), F.asc("emit_order"), F.asc("message")]
 
 
-def flatten(findings: DataFrame) -> DataFrame:
-    """Display columns of a findings table; exposure is 0 where not priced yet, a position stays."""
+def flatten(findings: DataFrame, *more: str) -> DataFrame:
+    """Display columns of a findings table, and `more`; exposure is 0 where not priced yet."""
     at_risk = F.col("at_risk_usd") if "at_risk_usd" in findings.columns else F.lit(0.0)
     return findings.select(
-        *[c for c in findings.columns if c == "position"],
         "check_id",
         "object_type",
         "record_id",
@@ -116,9 +116,18 @@ def flatten(findings: DataFrame) -> DataFrame:
         round_exact(F.col("revenue_impact_usd"), 2).alias("revenue_impact_usd"),
         F.concat_ws(", ", "related_record_ids").alias("related_record_ids"),
         at_risk.alias("at_risk_usd"),
+        *more,
     )
 
 
+def with_positions(findings: DataFrame) -> DataFrame:
+    """Display columns of every finding after its position in the report.
+
+    Only they and the keys of the order are sorted and written, not the details.
+    """
+    return numbered(flatten(findings, "emit_order"), report_order(), "findings_table").drop("emit_order")
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """Findings per severity with their share of all findings."""
     counted = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from ..config import AuditConfig, CostAssumptions
 from ..functions.values import round_exact
 from ..model import OBJECT_TYPES, CrmTables
-from ..operators.findings import flatten, report_order, severity_counts
+from ..operators.findings import flatten, report_order, severity_counts, with_positions
 from ..operators.scoring import (
     OVERALL, cost_of_findings, health_score, price_findings, punch_list, score_totals, summary_rows, top_item,
 )
-from ..sources.staging import numbered, staged, with_places
+from ..sources.staging import staged, with_places
 from ..sources.writers import write_csv, write_json
 from .audit import CHECK_NAMES, CustomCheck, run_checks
 
@@ -79,7 +79,7 @@ class Report:
 
     def findings_table(self) -> DataFrame:
         """Every finding with its position in the report."""
-        return flatten(numbered(self.findings, report_order(), "findings_table"))
+        return with_positions(self.findings)
 
     def start_here(self) -> DataFrame:
         return top_item(self.items)
@@ -137,7 +137,7 @@ class Report:
         """The findings (or a selection from `filter_findings`) as ordered CSV, also with their positions."""
         chosen = self.findings if filtered is None else filtered
         if positions:
-            write_csv(flatten(numbered(chosen, report_order(), "findings_table")), path, [F.asc("position")])
+            write_csv(with_positions(chosen), path, [F.asc("position")])
         else:
             write_csv(flatten(chosen.orderBy(*report_order())), path)
 

@@ -61,6 +61,8 @@ def test_ordered_findings_have_no_window_over_findings(spark):
     df = entry_points.queries()["all_findings"](spark, SF_DIR)
     for window in re.findall(r"Window \[.*", plan(df)):
         assert "_n" in window and "message" not in window
+    written = spark.read.parquet(*df.inputFiles()).columns
+    assert "message" in written and "meta" not in written  # details are not sorted
 
 
 def test_templates_read_what_was_written(spark):
