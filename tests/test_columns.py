@@ -150,6 +150,20 @@ def test_dates_in_rarer_spellings(spark):
     ], values.parse_date)
 
 
+def test_frequent_spellings_of_a_date_need_no_interpreted_steps(spark):
+    """Each is read in a branch before the steps for mixtures, and as those steps read it."""
+    spelled = ["2026-07-01T10:00:00Z", "2026-7-1 1:05:09.25 z", "07/01/2026 03:15 PM", "2026-07-01 12:00:05am", "Sept. 9, 2026", "jul 1 2026"]
+    frame = spark.createDataFrame([(v,) for v in spelled], "v string")
+    general = frame.select(values._parse_spelled_date(F.regexp_replace("v", r"^(\d+)/(\d+)/(\d+)", "$3-$1-$2"))).collect()
+    steps = values._parse_spelled_date
+    values._parse_spelled_date = lambda c: F.lit(None).cast("timestamp_ntz")
+    try:
+        branches = frame.select(values.parse_date(F.col("v"))).collect()
+    finally:
+        values._parse_spelled_date = steps
+    assert branches == general and None not in [r[0] for r in branches]
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_days_are_elapsed_whole_days(spark, zone):
     as_of = dt.datetime(2026, 7, 30, 1)

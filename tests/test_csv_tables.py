@@ -106,6 +106,15 @@ def test_reference_date(spark, tmp_path):
     assert load_crm(spark, contacts=nothing).as_of.date() == dt.date.today()
 
 
+def test_an_export_is_parsed_once(spark, tmp_path):
+    contacts = write(tmp_path, "c.csv", "Record ID,Email,Last Activity\n1.0, a@b.co ,07/01/2026 03:15 PM\n2,,\n")
+    tables = load_crm(spark, contacts=contacts)
+    plan = tables.contacts._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan csv" not in plan
+    assert sorted(rows(tables.contacts, "record_id", "email", "email_raw", "last_activity_date"), key=str) == [
+        ("1", "a@b.co", " a@b.co ", dt.datetime(2026, 7, 1, 15, 15)), ("2", None, None, None)]
+
+
 def test_unknown_table(spark):
     tables = load_crm(spark, as_of="2026-07-25")
     assert tables.frame(DEALS).count() == 0
