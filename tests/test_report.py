@@ -5,8 +5,10 @@ from collections import Counter
 import pytest
 
 from recordwarden import CHECK_NAMES, build_corrections, build_report, load_crm, make_config, write_corrections
+from recordwarden.operators import findings
 from recordwarden.operators.corrections import with_deal_names
 from recordwarden.operators.findings import filter_findings, of_checks
+from recordwarden.plans import correction_bundle
 
 from .helpers import AS_OF, REGIONS, company, contact, crm, day, deal
 
@@ -155,6 +157,26 @@ def test_written_bundle(tables, report, tmp_path):
         assert "backup" in row.before_importing.lower() and "cannot be undone" in row.before_importing.lower()
 
 
+def test_a_bundle_stages_only_what_its_tables_show(tables, report, tmp_path, monkeypatch):
+    kept, staged = [], correction_bundle.staged
+    monkeypatch.setattr(correction_bundle, "staged", lambda df, name: kept.append(df.columns) or staged(df, name))
+    write_corrections(tables, report.findings, str(tmp_path / "out"))
+    assert kept == [["check_id", "object_type", "record_id", "field", "meta", "at_risk_usd"]]
+
+
+def test_sorted_findings_are_priced_once(report):
+    """The sort reads its rows twice, so the table it sorts is a written one without any join."""
+    sorted_rows = []
+    numbered = findings.numbered
+    findings.numbered = lambda df, *more: sorted_rows.append(df) or numbered(df, *more)
+    try:
+        table = report.findings_table()
+    finally:
+        findings.numbered = numbered
+    assert "Join" not in sorted_rows[0]._jdf.queryExecution().executedPlan().toString()
+    assert table.count() == report.findings.count()
+
+
 def test_deal_names_for_findings_without_one(tables, report):
     found = with_deal_names(of_checks(report.findings, "missing_fields_deals"), tables.deals).collect()
     assert [(r.record_id, r.deal_name) for r in found] == [("23", "Deal 23")]

@@ -38,3 +38,16 @@ def test_equal_rows_have_different_places_in_every_read(spark):
     rows = with_places(spark.createDataFrame([(1, "a")] * 500, "i int, s string").repartition(4), "placed")
     first, again = ([r[PLACE] for r in rows.select(PLACE).collect()] for _ in range(2))
     assert sorted(first) == sorted(again) and len(set(first)) == 500
+
+
+def test_offsets_are_sent_to_the_rows(spark):
+    """The rows are not shuffled once more for the few offsets of their files, whatever Spark takes their size to be."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = numbered(spark.range(100), [F.desc("id")], "numbered")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r.id for r in found.orderBy("position").collect()] == list(range(99, -1, -1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
